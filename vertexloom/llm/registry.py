@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vertexloom.llm import simhash
+from vertexloom.llm import chat, mixing, simhash, warc
 
-QUERIES = {"op1_simhash": simhash.op1_simhash}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op1_simhash": simhash.op1_simhash, "op2_chat": chat.op2_chat, "op4_warc": warc.op4_warc, "op5_mixing": mixing.op5_mixing}
+ORACLE = {"op2_chat": chat.SQL, "op4_warc": warc.SQL, "op5_mixing": mixing.SQL}
