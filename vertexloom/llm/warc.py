@@ -29,6 +29,7 @@ from vertexloom.session import settings, shared_path, written
 
 MIN_REVISIT = 100
 RECORDS_PER_FILE = 5_000
+PIECE = 1 << 14
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -129,14 +130,16 @@ def _parse(data: bytes, at: int) -> tuple[Record, int]:
 
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    unpacker = zlib.decompressobj(31)
+    unpacker, view, out = zlib.decompressobj(31), memoryview(data), []
     try:
-        out = unpacker.decompress(memoryview(data)[at:])
+        while not unpacker.eof and at < len(data):  # by pieces: what a member leaves over is copied
+            out.append(unpacker.decompress(view[at : at + PIECE]))
+            at += PIECE
     except zlib.error as e:
         raise ValueError(f"gzip: {e}") from None
     if not unpacker.eof:
         raise ValueError("gzip member cut short")
-    return out, len(data) - len(unpacker.unused_data)
+    return b"".join(out), min(at, len(data)) - len(unpacker.unused_data)
 
 
 def _read_at(data: bytes, at: int) -> tuple[list[Record], int]:
