@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vertexloom.llm import chat, mixing, pii, simhash, warc
+from vertexloom.llm import chat, mixing, pii, quality, simhash, toxicity, warc
 
-QUERIES = {"op1_simhash": simhash.op1_simhash, "op2_chat": chat.op2_chat, "op4_warc": warc.op4_warc, "op5_mixing": mixing.op5_mixing, "op10_pii": pii.op10_pii}
+QUERIES = {"op1_simhash": simhash.op1_simhash, "op2_chat": chat.op2_chat, "op3_quality": quality.op3_quality, "op4_warc": warc.op4_warc, "op5_mixing": mixing.op5_mixing, "op8_toxicity": toxicity.op8_toxicity, "op10_pii": pii.op10_pii}
 ORACLE = {"op2_chat": chat.SQL, "op4_warc": warc.SQL, "op5_mixing": mixing.SQL}
