@@ -58,3 +58,21 @@ def test_k_way_balance(spark):
     g = Graph.from_edges(spark.range(40).select(F.col("id").alias("src"), ((F.col("id") + 1) % 40).alias("dst")), n=40)
     sizes = [r["count"] for r in partition.k_way(g, 4, rounds=2).groupBy("part").count().collect()]
     assert sum(sizes) == 40 and max(sizes) <= 22
+
+
+def test_cli(spark, tmp_path, capsys):
+    from vertexloom import cli
+
+    sources.write_gr(Graph.from_edges(spark.createDataFrame([(0, 1), (1, 2)], "src long, dst long"), n=4), f"{tmp_path}/g.gr")
+    cli.main(["-g", f"{tmp_path}/g.gr", "-a", "sssp", "-c", "2", "-m", "2", "-o", f"{tmp_path}/out"])
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == [(0, 0), (1, 1), (2, 2), (3, None)]
+    assert "Iterations: 3" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli.main(["-a", "pr"])
+
+
+def test_follow_log(spark):
+    from vertexloom.streaming import follow_log
+
+    lines = spark.createDataFrame([("Vertex 3: 0.5/0.25",), ("noise",)], "value string")
+    assert list(map(tuple, follow_log(lines).collect())) == [(3, 0.5, 0.25)]
