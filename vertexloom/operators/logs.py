@@ -1,8 +1,8 @@
 """Run logs as tables: extraction per iteration and comparison of two runs.
 
-Lines come as (line_no, line). The iteration marker is filled forward over the lines after it. A run log is read in order
-of its lines; iterations are found by a join of each line's position with the markers' intervals, bucketed by marker count,
-so that no window spans the whole log: markers (one per iteration) are few against lines.
+Lines come as (line_no, line). The iteration marker is filled forward over the lines after it, in slices of line numbers: the
+last marker inside the slice, or else the last one of the slices before, of which there is a row each. Positions inside an
+iteration, which may have a line per vertex, come from sliced running counts. No window holds a whole log or iteration.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vertexloom.functions.ordered import running
+
 #: The two log formats.
 OWN_MARK, OWN_LINE = r"Iteration: ([0-9]+)", r"Vertex ([0-9]+): ([-+0-9.eE]+)/([-+0-9.eE]+)"
 OTHER_MARK, OTHER_LINE = r"Iteration ([0-9]+) complete", r"^([0-9]+) ([-+0-9.eE]+) ([-+0-9.eE]+)$"
@@ -32,9 +34,9 @@ def extract(lines: DataFrame, mark: str = OWN_MARK, line: str = OWN_LINE, run: s
 
 def compare(a: DataFrame, b: DataFrame, tolerance: float = 0.001) -> DataFrame:
     """Pairs two extractions by position within the iteration; keeps pairs whose vertices differ or whose residuals differ by more."""
-    place = Window.partitionBy("iteration").orderBy("line_no")
-    side = lambda df, k: df.select("iteration", F.row_number().over(place).alias("place"), F.col("vertex").alias(f"vertex{k}"), F.col("residual").alias(f"r{k}"))
-    pairs = side(a, 1).join(side(b, 2), ["iteration", "place"])
+    rows = lambda df: running(df.select("iteration", "line_no", "vertex", "residual"), ["iteration"], ["line_no"])
+    side = lambda df, k: rows(df).select(F.col("iteration").alias(f"iteration{k}"), F.col("pos").alias(f"place{k}"), F.col("vertex").alias(f"vertex{k}"), F.col("residual").alias(f"r{k}"))
+    pairs = side(a, 1).join(side(b, 2), F.expr("iteration1 <=> iteration2 and place1 = place2")).withColumnRenamed("iteration1", "iteration")
     gap = F.abs(F.col("r1") - F.col("r2"))
     same = F.col("vertex1") == F.col("vertex2")
     return pairs.where(~same | (gap > tolerance)).select("iteration", F.col("vertex1").alias("vertex"), "r1", "r2", F.when(same, gap).alias("diff"), F.when(same, "diff").otherwise("mismatch").alias("status"))
