@@ -70,12 +70,12 @@ def test_edges(spark):
 
 def test_query_against_brute_force(spark):
     sf = "/root/testdata/sf0.01"
-    norm = lambda t: [w for w in map(dc.normal, (t or "").split()) if w]
+    norm = lambda t: dc.words(t or "")
     items = {r["item_id"]: norm(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     want = set()
     for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
-        joined = f" {' '.join(norm(r['text']))} "
-        want |= {(r["doc_id"], i) for i, w in items.items() if f" {' '.join(w)} " in joined}
+        joined = b" " + b" ".join(norm(r["text"])) + b" "
+        want |= {(r["doc_id"], i) for i, w in items.items() if b" " + b" ".join(w) + b" " in joined}
     got = {(r["doc_id"], r["item_id"]): r["lcs"] for r in dc.op9_decontaminate(spark, sf).collect()}
     assert len(want) > 15 and want <= set(got) and np.mean([got[k] for k in want]) == 1
     assert len(set(got) - want) <= 1

@@ -1,10 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Words (lower-cased, without marks around them) become term numbers: the vocabulary is the benchmark's own words, any other word
-is 0. The corpus is cut into passages of PASSAGE words. TF-IDF weights come from the passages of all documents; terms in over
-MAX_DF of the passages weigh nothing. A randomised SVD of the passage-by-term matrix gives the latent space: every task adds up
-its share of A'A times a thin matrix (terms x DIM) from its passages, the shares are summed in two steps by blocks of terms, and
-the driver holds matrices of that size alone. One power step, then Rayleigh-Ritz.
+Words (lower-cased, parted by blanks and marks) become term numbers: the vocabulary is the benchmark's own words, any other word
+is 0. The corpus is cut into passages of PASSAGE words. TF-IDF weights come from all documents (occurrences against passages); terms with
+more than MAX_DF occurrences per passage weigh nothing. A randomised SVD of the passage-by-term matrix gives the latent space: every task adds up
+its share of A'A times a random thin matrix (terms x DIM) from its passages, the shares are summed in two steps by blocks of
+terms, and the driver holds matrices of that size alone. Eigenvectors follow from that one pass.
 
 Candidates are windows of SCAN words (at half-window steps) whose cosine in the latent space to a piece of an item (of SCAN
 words; a shorter item is one piece) is at least COSINE. Any SCAN words share three quarters with some window. They are
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -31,56 +32,43 @@ PASSAGE = 40
 SCAN = 24
 STEP = SCAN // 2
 DIM = 64
-MAX_DF = 0.1
-COSINE = 0.45
+MAX_DF = 0.03
+COSINE = 0.6
 LCS = 0.75
 WEAK = 0.6
 ANSWER = 0.8
 SHORT = 8
 BLOCK_WORDS = 200_000
-CACHE = 200_000
 TERMS = 512
-_MARKS = ".,;:!?|\"'()[]{}<>*#%&$+-=~_/\\`@^"
+#: Marks that part words, and blanks in their stead.
+_MARKS = b".,;:!?|\"'()[]{}<>*#%&$+-=~_/\\`@^"
+_BLANKS = bytes.maketrans(_MARKS, b" " * len(_MARKS))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
-def normal(word: str) -> str:
-    return word.strip(_MARKS).lower()
+def words(text: str) -> list[bytes]:
+    """Lower-case words of a text in UTF-8; marks part words."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_BLANKS).split()
 
 
 class Items:
     """A block of benchmark items: term numbers (from 1), sequences, answers."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        self.terms: dict[str, int] = {}
+        self.terms: dict[bytes, int] = {}
         self.ids, self.sequences, self.answers = [], [], []
         for item, text in rows:
-            words = [w for w in map(normal, (text or "").split()) if w]
-            if not words:
+            said = words(text or "")
+            if not said:
                 continue
-            last = [w for w in map(normal, _SENTENCE.split(text.strip())[-1].split()) if w]
+            last = words(_SENTENCE.split(text.strip())[-1])
             self.ids.append(item)
-            self.sequences.append([self.terms.setdefault(w, len(self.terms) + 1) for w in words])
-            self.answers.append([self.terms[w] for w in (last if len(last) >= 4 else words[-6:])])
-        self.cache: dict[str, int] = {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"cache": {}}
+            self.sequences.append([self.terms.setdefault(w, len(self.terms) + 1) for w in said])
+            self.answers.append([self.terms[w] for w in (last if len(last) >= 4 else said[-6:])])
 
     def encode(self, text: str) -> np.ndarray:
-        """Term numbers of all words of a text; 0 for words that no item has. Words of marks alone are left out."""
-        cache, out = self.cache, []
-        for w in text.split():
-            t = cache.get(w)
-            if t is None:
-                form = normal(w)
-                t = self.terms.get(form, 0) if form else -1
-                if len(cache) >= CACHE:
-                    cache.clear()
-                cache[w] = t
-            if t >= 0:
-                out.append(t)
-        return np.array(out, dtype=np.int32)
+        """Term numbers of all words of a text; 0 for words that no item has."""
+        return np.array(list(map(self.terms.get, words(text), repeat(0))), dtype=np.int32)
 
 
 def lcs(masks: dict[int, int], m: int, words) -> int:
@@ -101,24 +89,38 @@ def masks_of(sequence: list[int]) -> dict[int, int]:
     return out
 
 
-def _places(batch: list[np.ndarray], step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(terms, piece of each, pieces before each document) for the known words of documents cut at ``step`` words."""
-    pieces = np.array([-(-len(x) // step) for x in batch], dtype=np.int64)
-    start = np.concatenate([[0], np.cumsum(pieces)])
-    if not len(batch):
-        return np.zeros(0, np.int32), np.zeros(0, np.int64), start
-    where = np.concatenate([np.arange(len(x)) // step + s for x, s in zip(batch, start, strict=False)])
-    terms = np.concatenate(batch)
-    known = terms > 0
-    return terms[known], where[known], start
-
-
-def _sums(values: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
-    """Rows of values summed by non-decreasing keys in 0..n-1."""
-    out = np.zeros((n, values.shape[1]), dtype=np.float32)
-    if len(keys):
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        out[keys[first]] = np.add.reduceat(values, first, axis=0)
+def _pieces(batch: list[np.ndarray], step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(terms of each piece of ``step`` words, filled up with 0; pieces before each document)."""
+    n = np.array([-(-len(x) // step) for x in batch], dtype=np.int64)
+    start = np.concatenate([[0], np.cumsum(n)])
+    out = np.zeros(int(start[-1]) * step, dtype=np.int32)
+    for x, at in zip(batch, start, strict=False):
+        out[at * step : at * step + len(x)] = x
+    return out.reshape(-1, step), start
+
+
+def _gathered(pieces: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sum of the rows of each piece's terms, a place at a time."""
+    out = np.zeros((len(pieces), rows.shape[1]), dtype=np.float32)
+    for j in range(pieces.shape[1]):
+        out += rows[pieces[:, j]]
+    return out
+
+
+def _summed(rows: np.ndarray, index: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+    """rows[index] summed by sorted keys in 0..n-1, sixteen at a time (numpy's own sums down columns are slow)."""
+    out = np.zeros((n, rows.shape[1]))
+    while len(keys):
+        key, first, count = np.unique(keys, return_index=True, return_counts=True)
+        blocks = -(-count // 16)
+        begin = np.concatenate([[0], np.cumsum(blocks)])
+        pieces = np.full(int(begin[-1]) * 16, len(rows), dtype=np.int64)
+        pieces[np.repeat(begin[:-1] * 16 - first, count) + np.arange(len(keys))] = index
+        rows = _gathered(pieces.reshape(-1, 16), np.concatenate([rows, np.zeros((1, rows.shape[1]), dtype=rows.dtype)]))
+        if blocks.max() == 1:
+            out[key] = rows
+            break
+        keys, index = np.repeat(key, blocks), np.arange(len(rows))
     return out
 
 
@@ -134,16 +136,15 @@ def _unpack(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]
 
 
 def passage_counts(encoded: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
-    """(passages with each term, passages) over all documents."""
+    """(occurrences of each term, passages) over all documents; the passages stand at 0."""
 
     def count(batches):
-        total, passages = np.zeros(n_terms + 1, dtype=np.int64), 0
+        total = np.zeros(n_terms + 1, dtype=np.int64)
+        passages = 0
         for pdf in batches:
             for _, arrays in _unpack(pdf):
-                terms, where, start = _places(arrays, PASSAGE)
-                pairs = np.unique(where * (n_terms + 1) + terms)
-                total += np.bincount(pairs % (n_terms + 1), minlength=n_terms + 1)
-                passages += int(start[-1])
+                total += np.bincount(np.concatenate(arrays), minlength=n_terms + 1)
+                passages += sum(-(-len(x) // PASSAGE) for x in arrays)
         total[0] = passages
         at = np.flatnonzero(total)
         yield pd.DataFrame({"term": at, "n": total[at]})
@@ -158,20 +159,20 @@ def passage_counts(encoded: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
 def _gram(encoded: DataFrame, weights: np.ndarray, thin: np.ndarray) -> np.ndarray:
     """A'A times a thin matrix, over the unit TF-IDF passages of all documents."""
     n_rows, dim = thin.shape
-    heavy = thin.astype(np.float32) * weights[:, None]
+    # the last column sums squared weights, for the passages' lengths
+    heavy = np.concatenate([thin * weights[:, None], weights[:, None] ** 2], axis=1).astype(np.float32)
 
     def share(batches):
         total = np.zeros((n_rows, dim), dtype=np.float64)
         for pdf in batches:
             for _, arrays in _unpack(pdf):
-                terms, where, start = _places(arrays, PASSAGE)
-                use = weights[terms] > 0
-                terms, where = terms[use], where[use]
-                n = int(start[-1])
-                square = np.bincount(where, weights=weights[terms].astype(np.float64) ** 2, minlength=n)
-                seen = _sums(heavy[terms], where, n) / np.maximum(square, 1e-9)[:, None]
+                pieces, _ = _pieces(arrays, PASSAGE)
+                got = _gathered(pieces, heavy)
+                seen = got[:, :dim] / np.maximum(got[:, dim:], 1e-9)
+                where, place = np.nonzero(weights[pieces])
+                terms = pieces[where, place]
                 order = np.argsort(terms, kind="stable")
-                total += _sums(seen[where[order]].astype(np.float32), terms[order].astype(np.int64), n_rows) * weights[:, None]
+                total += _summed(seen, where[order], terms[order], n_rows) * weights[:, None]
         for b in range(0, n_rows, TERMS):
             yield pd.DataFrame({"block": [b // TERMS], "m": [total[b : b + TERMS].tobytes()]})
 
@@ -187,16 +188,24 @@ def _gram(encoded: DataFrame, weights: np.ndarray, thin: np.ndarray) -> np.ndarr
 
 
 def latent_space(encoded: DataFrame, weights: np.ndarray, dim: int = DIM, seed: int = 23) -> np.ndarray:
-    """Terms x dim: leading right singular vectors of the TF-IDF passages, scaled to even out the spread along them."""
+    """Terms x dim: the terms' directions among the leading right singular vectors of the TF-IDF passages, at unit length (so
+    that rare terms, of which those vectors hold little, keep their weight), with the spread along the vectors evened out.
+
+    One pass over the corpus: with Y = A'A W for a random W, A'A is nearly Y (W'Y)^-1 Y', whose eigenvectors come from the
+    small singular value decomposition of Y times the inverse Cholesky factor of W'Y.
+    """
     dim = min(dim, len(weights))
-    thin = np.random.default_rng(seed).normal(size=(len(weights), dim))
-    basis, _ = np.linalg.qr(_gram(encoded, weights, thin))
-    image = _gram(encoded, weights, basis)
-    values, turn = np.linalg.eigh((basis.T @ image + image.T @ basis) / 2)
-    keep = values > max(values.max(), 0) * 1e-9
-    if not keep.any():
-        return basis
-    return (basis @ turn[:, keep]) / np.sqrt(values[keep])
+    thin, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(weights), dim)))
+    image = _gram(encoded, weights, thin)
+    shift = 1e-7 * max(np.linalg.norm(image), 1e-12)
+    image = image + shift * thin
+    core = thin.T @ image
+    factor = np.linalg.cholesky((core + core.T) / 2 + 1e-9 * shift * np.eye(dim))
+    basis, values, _ = np.linalg.svd(np.linalg.solve(factor, image.T).T, full_matrices=False)
+    values = np.maximum(values**2 - shift, 0)
+    keep = values > values.max() * 1e-6
+    places = basis[:, keep] / np.sqrt(values[keep]) if keep.any() else basis
+    return places / np.maximum(np.linalg.norm(places, axis=1, keepdims=True), 1e-12)
 
 
 def _checked(items: Items, masks: list[dict[int, int]], answers: list[dict[int, int]], k: int, words: np.ndarray, at: int) -> tuple[float, bool, int, int] | None:
@@ -230,21 +239,20 @@ def _search(encoded: DataFrame, items: Items, weights: np.ndarray, space: np.nda
         for pdf in batches:
             out = []
             for docs, arrays in _unpack(pdf):
-                terms, where, start = _places(arrays, STEP)
-                n = int(start[-1])
-                use = weights[terms] > 0
-                half = _sums(heavy[terms[use]], where[use], n)
-                full = half.copy()
+                pieces, start = _pieces(arrays, STEP)
+                n = len(pieces)
+                half = _gathered(pieces, heavy)
                 inner = np.ones(n, dtype=bool)
-                inner[start[1:][start[1:] > start[:-1]] - 1] = False  # a document's last half stands alone
+                inner[start[1:][start[1:] > start[:-1]] - 1] = False  # a document's last piece stands alone
                 at = np.flatnonzero(inner)
+                full = half.copy()
                 full[at] += half[at + 1]
                 norm = np.linalg.norm(full, axis=1)
                 for b in range(0, n, 4096):
                     live = np.flatnonzero(norm[b : b + 4096] > 0) + b
-                    hit, k = np.nonzero(full[live] @ points.T >= cosine * norm[live, None])
+                    hit, k = np.divmod(np.flatnonzero((full[live] / norm[live, None]) @ points.T >= cosine), len(points))
                     near = sorted(set(zip(live[hit].tolist(), owner[k].tolist(), strict=True)))
-                    near += [(p, k) for k, t in blank for p in np.unique(where[(terms == t) & (where >= b) & (where < b + 4096)]).tolist()]
+                    near += [(p, k) for k, t in blank for p in (np.flatnonzero((pieces[b : b + 4096] == t).any(axis=1)) + b).tolist()]
                     for p, k in near:
                         d = int(np.searchsorted(start, p, side="right")) - 1
                         got = _checked(items, masks, answers, k, arrays[d], (p - int(start[d])) * STEP)
