@@ -6,9 +6,11 @@ Fingerprints link at RADIUS (3) or fewer differing bits. Distinct fingerprints o
    fingerprint emits all its variants within half the radius (rounded down: 1 bit), 131 in all. Of three differing bits, at
    most two remain when the third that holds most of them is left out, unless all three lie in one third; then nothing
    remains when it is left out. Two linked fingerprints hence always share a variant. Variants are shuffled; those with two
-   or more fingerprints are collisions. A variant costs a row of 16 bytes, and all 2081 variants of a whole ball of radius 2
+   or more fingerprints are collisions. Neighbours in a variant's order within RADIUS are linked there and then. A variant
+   whose neighbours are all linked is one component, and one of two fingerprints is settled; the members of any other go on
+   to step 2. A variant costs a row of 16 bytes, and all 2081 variants of a whole ball of radius 2
    would cost 16 times as many.
-2. Verified: colliding fingerprints emit whole 64-bit variants: all within 1 bit, and those with an even number of set bits
+2. Verified: those members emit whole 64-bit variants: all within 1 bit, and those with an even number of set bits
    also the variants at 2 bits that lie in one half of the word (of three differing bits two always do). Linked pairs at 1 or
    2 bits meet at a variant within 1 bit of both; pairs at 3 bits have one even and one odd member and meet at a variant 2
    bits from the even and 1 bit from the odd one. Members of a variant's group are linked with the smallest member within 1
@@ -90,17 +92,22 @@ def links(fps: DataFrame) -> DataFrame:
     """(u, v): links between distinct fingerprints (column fp) that span exactly the components at RADIUS bits."""
     flips = F.array(*(F.struct(F.lit(_signed(f)).alias("flip"), F.lit(_signed(m)).alias("mask")) for f, m in _thirds()))
     variants = fps.select("fp", F.inline(flips)).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).bitwiseAND(F.col("mask")).alias("key"))
-    order = Window.partitionBy("key").orderBy("fp")
-    colliding = variants.select("fp", F.lag("fp").over(order).alias("a"), F.lead("fp").over(order).alias("b")).where("a <> fp or b <> fp").select("fp").distinct()
-    colliding = written(colliding, "colliding")
+    before = F.lag("fp").over(Window.partitionBy("key").orderBy("fp"))
+    variants = variants.withColumn("before", F.when(before != F.col("fp"), before))
+    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("before"))) > RADIUS
+    group = Window.partitionBy("key")
+    variants = variants.select("fp", "before", far.alias("far"), F.count("before").over(group).alias("more"), F.max(far).over(group).alias("broken"))
+    met = written(variants.where("more > 0 and (before is not null and not far or more > 1 and broken)"), "collisions")
+    chained = met.where("before is not null and not far").select("fp", F.col("before").alias("to"))
+    colliding = met.where("more > 1 and broken").select("fp").distinct()
     near, pairs = _ball()
     masks = lambda xs: F.array(*(F.lit(_signed(x)) for x in xs))
     even = F.bit_count("fp") % 2 == 0
     ball = colliding.select("fp", F.explode(F.when(even, masks(near + pairs)).otherwise(masks(near))).alias("mask"))
     ball = ball.select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("key"), (F.bit_count("mask") < 2).alias("near"))
     least = F.min(F.when(F.col("near"), F.col("fp"))).over(Window.partitionBy("key"))
-    met = ball.select("fp", least.alias("to")).where("fp <> to").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("to"))) <= RADIUS)
-    return met.select(F.col("fp").alias("u"), F.col("to").alias("v")).distinct()
+    whole = ball.select("fp", least.alias("to")).where("fp <> to").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("to"))) <= RADIUS)
+    return chained.unionByName(whole).select(F.col("fp").alias("u"), F.col("to").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH) -> DataFrame:
