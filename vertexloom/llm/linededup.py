@@ -113,6 +113,9 @@ def fingerprints(text: str, least: int = LEAST) -> tuple[np.ndarray, np.ndarray,
         pick = np.unique(len(at) - 1 - (np.arange(len(view)) + view.argmin(axis=1)))
     else:
         pick = np.arange(len(at))
+    # a text that repeats itself has one hash over and over: the ends of such a stretch stand for it
+    same = code[pick][1:] == code[pick][:-1]
+    pick = pick[~(np.r_[False, same] & np.r_[same, False])] if len(pick) else pick
     return code[pick], at[pick], p[at[pick]]
 
 
@@ -149,6 +152,7 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
     seeds = written(keyed.mapInPandas(emit, "fp long, doc long, tag int, pos int, p long"), "lines")
     first = seeds.groupBy("fp").agg(F.min(F.struct("doc", "tag", "pos", "p")).alias("f"), F.count("*").alias("n")).where("n > 1").select("fp", "f")
+    first = written(first, "first")  # a join of two plain shuffles: adaptive execution can split a line that is everywhere
     met = seeds.join(first, "fp").where("doc <> f.doc or tag <> f.tag")
     met = met.select("doc", "tag", "pos", "p", F.col("f.doc").alias("fdoc"), F.col("f.tag").alias("ftag"), F.col("f.pos").alias("fpos"), F.col("f.p").alias("fp_"))
 
@@ -176,8 +180,11 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
         for pdf in batches:
             out = []
             for doc, tag, text, wanted in zip(pdf["doc"], pdf["tag"], pdf["text"], pdf["asks"], strict=True):
-                h = word_hashes(text)[0].astype(np.uint32)
-                out += [(doc, tag, a["at"], a["right"], (h[a["at"] : a["at"] + CONTEXT] if a["right"] else h[max(0, a["at"] - CONTEXT) : a["at"]][::-1]).tobytes()) for a in wanted]
+                said = text.encode("utf-8", "surrogatepass").split()
+                for a in wanted:
+                    near = said[a["at"] : a["at"] + CONTEXT] if a["right"] else said[max(0, a["at"] - CONTEXT) : a["at"]][::-1]
+                    h = np.fromiter(map(xxhash.xxh64_intdigest, near), dtype=np.uint64, count=len(near))
+                    out.append((doc, tag, a["at"], a["right"], h.astype(np.uint32).tobytes()))
             yield pd.DataFrame(out, columns=["doc", "tag", "at", "right", "words"])
 
     once = keyed.join(asked, ["doc", "tag"])
