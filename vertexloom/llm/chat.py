@@ -47,14 +47,16 @@ def windows(turns: DataFrame, span: int = SPAN, history: int = HISTORY) -> DataF
     """(conv_id, window, first, text, spans): a row per window of (conv_id, turn, role, text) rows.
 
     ``first`` is the number of the window's first new turn, ``spans`` array<struct<start, end>> its loss mask in code points.
-    Turns are ordered by turn (null first), then role and text, so ties and repeated rows have a defined place. Null roles and
+    Turns are ordered by turn (null first), then role and MD5 of the text, so ties and repeated rows have a defined place. Null roles and
     texts are empty; a null conv_id is a conversation. A turn over the budget has a window of its own length. An empty table
     gives an empty one. Other columns are ignored.
     """
     rows = turns.select("conv_id", "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.withColumn("tokens", F.regexp_count("text", F.lit(WORD)) + TURN_TOKENS)
-    placed = running(rows, ["conv_id"], ["turn", "role", "text"], "tokens").withColumn("before", F.col("cum") - F.col("tokens"))
-    placed = placed.withColumn("slot", F.floor(F.col("before") / span)).select("conv_id", "slot", "before", "pos", "role", "text")
+    rows = rows.withColumn("code", F.unhex(F.md5(F.col("text").cast("binary"))))
+    # places are found without texts, which join in once, by turn and code
+    light = rows.select("conv_id", "turn", "role", "code", (F.regexp_count("text", F.lit(WORD)) + TURN_TOKENS).alias("tokens"))
+    placed = running(light, ["conv_id"], ["turn", "role", "code"], "tokens").withColumn("before", F.col("cum") - F.col("tokens"))
+    placed = written(placed.withColumn("slot", F.floor(F.col("before") / span)).select("conv_id", "slot", "before", "pos", "turn", "role", "code"), "places")
     slots = placed.groupBy("conv_id", "slot").agg(F.min("before").alias("start"), F.min("pos").alias("first"))
     slots = written(running(slots, ["conv_id"], ["slot"]).select("conv_id", "slot", "start", "first", F.col("pos").alias("window")), "windows")
     after = slots.select(F.col("conv_id").alias("_c"), (F.col("window") - 1).alias("_w"), F.col("start").alias("next"))
@@ -63,11 +65,13 @@ def windows(turns: DataFrame, span: int = SPAN, history: int = HISTORY) -> DataF
     system = (F.col("pos") == 0) & (F.col("role") == "system")
     told_again = (F.col("next") - F.col("before") <= history) & ~system
     here = F.struct(F.col("window").alias("window"), F.lit(False).alias("again"))
-    entries = own.select("conv_id", F.explode(F.when(told_again, F.array(here, F.struct((F.col("window") + 1).alias("window"), F.lit(True).alias("again")))).otherwise(F.array(here))).alias("e"), "pos", "role", "text")
-    entries = entries.select("conv_id", "e.window", "e.again", "pos", "role", "text")
-    heads = placed.where(system).select(F.col("conv_id").alias("_c"), "pos", "role", "text")
+    entries = own.select("conv_id", F.explode(F.when(told_again, F.array(here, F.struct((F.col("window") + 1).alias("window"), F.lit(True).alias("again")))).otherwise(F.array(here))).alias("e"), "pos", "turn", "role", "code")
+    entries = entries.select("conv_id", "e.window", "e.again", "pos", "turn", "role", "code")
+    heads = placed.where(system).select(F.col("conv_id").alias("_c"), "pos", "turn", "role", "code")
     later = slots.where("window > 0").join(heads, F.col("conv_id").eqNullSafe(F.col("_c")))
-    entries = entries.unionByName(later.select("conv_id", "window", F.lit(True).alias("again"), "pos", "role", "text"))
+    entries = entries.unionByName(later.select("conv_id", "window", F.lit(True).alias("again"), "pos", "turn", "role", "code"))
+    texts = rows.dropDuplicates(["conv_id", "turn", "role", "code"]).select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("role").alias("_r"), F.col("code").alias("_k"), "text")
+    entries = entries.join(texts, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("turn").eqNullSafe(F.col("_t")) & (F.col("role") == F.col("_r")) & (F.col("code") == F.col("_k")))
     head = F.concat(F.lit("[TURN "), F.col("pos").cast("string"), F.lit("]"), escape(F.col("role")), F.lit("[SEP]"))
     body = escape(F.col("text"))
     piece = F.struct(
@@ -117,7 +121,7 @@ def _sql() -> str:
     size = lambda c: f"({' + '.join([f'length({c})'] + [f'{len(code) - 1} * (length({c}) - length(replace({c}, {raw!r}, {chr(39) * 2})))' for raw, code in ESCAPES])})"
     return rf"""
 with t as (select conv_id, turn, coalesce("role", '') r, coalesce("text", '') x from conversations union all select -1, 0, 'user', '{PROBE}' union all select -1, 1, 'assistant', '{PROBE}'),
-p as (select *, row_number() over w - 1 pos, len(regexp_extract_all(x, '{WORD}')) + {TURN_TOKENS} k from t window w as (partition by conv_id order by turn nulls first, r, x)),
+p as (select *, row_number() over w - 1 pos, len(regexp_extract_all(x, '{WORD}')) + {TURN_TOKENS} k from t window w as (partition by conv_id order by turn nulls first, r, md5(x))),
 c as (select *, (sum(k) over (partition by conv_id order by pos rows unbounded preceding) - k)::bigint bef from p),
 s as (select *, bef // {SPAN} slot, length('[TURN ' || pos || ']') + {size("r")} + 5 + {size("x")} + 7 chars from c),
 w as (select conv_id, slot, min(bef) start, row_number() over (partition by conv_id order by slot) - 1 win from s group by 1, 2),
