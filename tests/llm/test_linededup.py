@@ -98,3 +98,19 @@ def test_query(spark, sf_dir):
     extra = sum(len(cover(v) - cover(want.get(d, []))) for d, v in found.items())
     total = sum(len(cover(v)) for v in want.values())
     assert lost <= 0.01 * total and extra <= 0.03 * total, (lost, extra, total)
+
+
+def spans(spark, rows):
+    return {r["doc"]: [(s["start"], s["end"]) for s in r["spans"]] for r in ld.repeats(docs(spark, rows)).collect()}
+
+
+def word(rnd):
+    return "".join(rnd.choice("abcdefghij") for _ in range(7))
+
+
+def test_stretch_of_one_line(spark):
+    rnd = random.Random(7)
+    line = " ".join(word(rnd) for _ in range(9)) + " end."
+    around = lambda n: " ".join(word(rnd) for _ in range(n))
+    texts = {1: f"{around(30)} {' '.join([line] * 60)} {around(25)}", 2: f"{around(17)} {' '.join([line] * 40)} {around(40)}", 3: f"{around(5)} {' '.join([line] * 90)}"}
+    assert spans(spark, list(texts.items())) == brute(texts) == {2: [(17, 417)], 3: [(5, 905)]}

@@ -1,46 +1,37 @@
-"""Repeated passages across documents, by winnowing over line hashes.
-
-Lines are newline- or sentence-delimited; stretches of more than LONGEST words without either are cut after words with a
-certain hash, so cuts follow from nearby words alone. A line's hash is that of its first REACH words (running on into the
-next lines), and of every WINDOW lines the one with the smallest hash is a fingerprint. Any run of words that two documents
-share and that holds WINDOW line starts, each with REACH words after it, has a common fingerprint.
-
-1. Fingerprints (hash, document, word position, prefix hash of the document's words up to there) are grouped by hash; a
-   group's first position, by document id, stands for it. Other positions match that one, so matches grow with positions.
-2. Matches of the same two documents at the same offset are chained: prefix hashes tell in a subtraction whether all words
-   between two positions are equal. Chains are runs.
-3. Runs grow in both directions word by word: the CONTEXT words outside each end, as 32-bit hashes, are fetched from both
-   documents for run ends alone, and compared. What reaches further has other fingerprints.
-4. A document's runs are merged; stretches of at least LEAST words are repeats of earlier documents.
-
-Only positions move in steps 1, 2 and 4; texts are read twice, and shuffled once, by id, for step 3.
+"""Repeated passages across documents, by winnowing over hashes of word runs.
+
+A word range of a document repeats an earlier one if it's covered by runs of LEAST words that earlier documents hold.
+
+1. Of every LEAST words, the smallest hash of a run of half as many words is a fingerprint, so any LEAST words that two
+   documents share have the same one, wherever lines or sentences begin. Each document's distinct fingerprints are grouped
+   by hash; those of two or more documents are shared.
+2. Documents with shared fingerprints are read again. They emit the hash of each run of LEAST words whose fingerprint is
+   shared, once per hash and document, and each hash's first document, by id, stands for it. Runs that an earlier document
+   holds are repeats, whichever document that is; nothing hangs on where else their words occur.
+3. Documents get their repeated hashes back and merge the runs that have them.
+
+Texts are read three times, and those concerned shuffled by id; no positions move.
 """
 
 from __future__ import annotations
 
-import operator
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.session import written
 
 LEAST = 50
-REACH = 8
-WINDOW = 3
-LONGEST = 24
-CONTEXT = 64
 BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(BASE, -1, 1 << 64)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LAST = operator.itemgetter(-1)
-_ENDS = np.zeros(256, dtype=bool)
-_ENDS[list(b".!?")] = True
+#: Hashes in one piece of output.
+PIECE = 200_000
 #: The id that stands for a null one: it comes first.
 NO_ID = -(1 << 63)
 
@@ -61,29 +52,10 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def word_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, whether it ends a line, whether it ends a sentence) of a whole text."""
-    words, ends = [], []
-    for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
-        words += line.split()
-        ends.append(len(words) - 1)
-    n = len(words)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=n)
-    line_end = np.zeros(n, dtype=bool)
-    if n:
-        line_end[[e for e in ends if e >= 0]] = True
-    return hashes, line_end, _ENDS[np.fromiter(map(_LAST, words), dtype=np.uint8, count=n)]
-
-
-def line_starts(hashes: np.ndarray, line_end: np.ndarray, sentence_end: np.ndarray) -> np.ndarray:
-    """Word positions at which a line begins."""
-    n = len(hashes)
-    stop = line_end | sentence_end
-    at = np.flatnonzero(stop)
-    edges = np.concatenate([[-1], at, [n - 1]])
-    long = np.repeat(np.diff(edges) > LONGEST, np.diff(edges))
-    stop = stop | (long[:n] & (hashes >> np.uint64(17) & np.uint64(7) == 0))
-    return np.concatenate([[0], np.flatnonzero(stop[:-1]) + 1])
+def word_hashes(text: str) -> np.ndarray:
+    """Hash of each word of a whole text."""
+    words = text.encode("utf-8", "surrogatepass").split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def prefixes(hashes: np.ndarray) -> np.ndarray:
@@ -93,30 +65,32 @@ def prefixes(hashes: np.ndarray) -> np.ndarray:
         return np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64)])
 
 
-def fingerprints(text: str, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, word position, prefix hash) of the winnowed line hashes; none for texts under ``least`` words."""
-    hashes, line_end, sentence_end = word_hashes(text)
-    n = len(hashes)
-    none = np.zeros(0, dtype=np.uint64)
-    if n < least:
-        return none, none.astype(np.int64), none
-    p = prefixes(hashes)
-    at = line_starts(hashes, line_end, sentence_end)
-    at = at[at + REACH <= n]
+def _runs(p: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the run of ``size`` words at each position, from prefix hashes."""
+    at = len(p) - size
     with np.errstate(over="ignore"):
-        code = (p[at + REACH] - p[at]) * _POWERS.get(n)[1][at]
+        code = (p[size:] - p[:at]) * _POWERS.get(max(1, at))[1]
         code ^= code >> np.uint64(29)
         code *= np.uint64(0xBF58476D1CE4E5B9)
         code ^= code >> np.uint64(32)
-    if len(at) > WINDOW:
-        view = np.lib.stride_tricks.sliding_window_view(code[::-1], WINDOW)  # reversed: of equal hashes the last is taken
-        pick = np.unique(len(at) - 1 - (np.arange(len(view)) + view.argmin(axis=1)))
-    else:
-        pick = np.arange(len(at))
-    # a text that repeats itself has one hash over and over: the ends of such a stretch stand for it
-    same = code[pick][1:] == code[pick][:-1]
-    pick = pick[~(np.r_[False, same] & np.r_[same, False])] if len(pick) else pick
-    return code[pick], at[pick], p[at[pick]]
+    return code
+
+
+def _least(x: np.ndarray, size: int) -> np.ndarray:
+    """Smallest of every ``size`` neighbours."""
+    width = 1
+    while 2 * width <= size:
+        x, width = np.minimum(x[:-width], x[width:]), 2 * width
+    return x if width == size else np.minimum(x[: len(x) - size + width], x[size - width :])
+
+
+def fingerprints(text: str, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each run of ``least`` words, its fingerprint); none for texts under ``least`` words."""
+    hashes = word_hashes(text)
+    if len(hashes) < least:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+    p, half = prefixes(hashes), (least + 1) // 2
+    return _runs(p, least), _least(_runs(p, half), least - half + 1)
 
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -125,13 +99,21 @@ def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("doc"), F.hash(text).alias("tag"), text.alias("text"))
 
 
-def _power(exponent: np.ndarray) -> np.ndarray:
-    """BASE ** exponent mod 2**64 for exponents from 0."""
-    out, square, e = np.ones(len(exponent), dtype=np.uint64), BASE, exponent.astype(np.int64).copy()
-    while e.any():
-        out[e & 1 == 1] *= np.uint64(square)
-        square, e = square * square % (1 << 64), e >> 1
-    return out
+def _rows(pdf: pd.DataFrame, codes: Iterator[np.ndarray], name: str) -> Iterator[pd.DataFrame]:
+    """(hash, doc, tag) of each document's hashes, in pieces."""
+    held, size = [], 0
+    for i, c in enumerate(codes):
+        held.append((i, c))
+        size += len(c)
+        if size > PIECE or i == len(pdf) - 1:
+            at = np.repeat([j for j, _ in held], [len(x) for _, x in held])
+            if size:
+                yield pd.DataFrame({name: np.concatenate([x for _, x in held]).view(np.int64), "doc": pdf["doc"].to_numpy()[at], "tag": pdf["tag"].to_numpy()[at]})
+            held, size = [], 0
+
+
+def _wanted(asked: list) -> np.ndarray:
+    return np.asarray(asked, dtype=np.int64).view(np.uint64)
 
 
 def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST) -> DataFrame:
@@ -144,85 +126,38 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
     def emit(batches) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parts = [fingerprints(t, least) for t in pdf["text"]]
-            n = [len(p[0]) for p in parts]
-            if sum(n):
-                joined = [np.concatenate([p[i] for p in parts]) for i in range(3)]
-                yield pd.DataFrame({"fp": joined[0].view(np.int64), "doc": np.repeat(pdf["doc"].to_numpy(), n), "tag": np.repeat(pdf["tag"].to_numpy(), n), "pos": joined[1].astype(np.int32), "p": joined[2].view(np.int64)})
-
-    seeds = written(keyed.mapInPandas(emit, "fp long, doc long, tag int, pos int, p long"), "lines")
-    first = seeds.groupBy("fp").agg(F.min(F.struct("doc", "tag", "pos", "p")).alias("f"), F.count("*").alias("n")).where("n > 1").select("fp", "f")
-    first = written(first, "first")  # a join of two plain shuffles: adaptive execution can split a line that is everywhere
-    met = seeds.join(first, "fp").where("doc <> f.doc or tag <> f.tag")
-    met = met.select("doc", "tag", "pos", "p", F.col("f.doc").alias("fdoc"), F.col("f.tag").alias("ftag"), F.col("f.pos").alias("fpos"), F.col("f.p").alias("fp_"))
-
-    @F.pandas_udf("boolean")
-    def same(pos: pd.Series, p: pd.Series, p0: pd.Series, fpos: pd.Series, f: pd.Series, f0: pd.Series) -> pd.Series:
-        """Whether the words since the chain's last position are equal in both documents."""
-        here, there = (x.to_numpy(dtype=np.int64).view(np.uint64) for x in (p - p0, f - f0))
-        shift = pos.to_numpy(dtype=np.int64) - fpos.to_numpy(dtype=np.int64)
-        with np.errstate(over="ignore"):
-            return pd.Series(here * _power(np.maximum(-shift, 0)) == there * _power(np.maximum(shift, 0)))
-
-    chain = Window.partitionBy("doc", "tag", "fdoc", "ftag", (F.col("pos") - F.col("fpos"))).orderBy("pos")
-    linked = met.withColumn("p0", F.lag("p").over(chain)).withColumn("f0", F.lag("fp_").over(chain))
-    joins = same("pos", "p", F.coalesce("p0", "p"), "fpos", "fp_", F.coalesce("f0", "fp_"))
-    linked = linked.withColumn("breaks", (F.col("p0").isNull() | ~joins).cast("int"))
-    linked = linked.withColumn("off", F.col("pos") - F.col("fpos")).withColumn("run", F.sum("breaks").over(Window.partitionBy("doc", "tag", "fdoc", "ftag", "off").orderBy("pos")))
-    runs = linked.groupBy("doc", "tag", "fdoc", "ftag", "off", "run").agg(F.min("pos").alias("lo"), (F.max("pos") + REACH).alias("hi"))
-    runs = written(runs.drop("run"), "runs")
-
-    sides = runs.withColumn("right", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("at", F.when(F.col("right"), F.col("hi")).otherwise(F.col("lo"))).withColumn("fat", F.col("at") - F.col("off"))
-    asks = sides.select("doc", "tag", "at", "right").unionByName(sides.select(F.col("fdoc").alias("doc"), F.col("ftag").alias("tag"), F.col("fat").alias("at"), "right")).distinct()
-    asked = asks.groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "right")).alias("asks"))
-
-    def fetch(batches) -> Iterator[pd.DataFrame]:
+            yield from _rows(pdf, (np.unique(fingerprints(t, least)[1]) for t in pdf["text"]), "fp")
+
+    seeds = written(keyed.mapInPandas(emit, "fp long, doc long, tag int"), "seeds")
+    shared = seeds.groupBy("fp").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.min("tag").alias("s"), F.max("tag").alias("t")).where("a <> b or s <> t").select("fp")
+    shared = written(shared, "shared")  # a join of two plain shuffles: adaptive execution can split a line that is everywhere
+    asked = seeds.join(shared, "fp").groupBy("doc", "tag").agg(F.collect_set("fp").alias("asked"))
+    concerned = written(keyed.dropDuplicates(["doc", "tag"]).join(asked, ["doc", "tag"]), "concerned")
+
+    def hold(batches) -> Iterator[pd.DataFrame]:
+        def codes(pdf):
+            for text, wanted in zip(pdf["text"], pdf["asked"], strict=True):
+                runs, prints = fingerprints(text, least)
+                yield np.unique(runs[np.isin(prints, _wanted(wanted))])
+
+        for pdf in batches:
+            yield from _rows(pdf, codes(pdf), "run")
+
+    runs = written(concerned.mapInPandas(hold, "run long, doc long, tag int"), "runs")
+    first = runs.groupBy("run").agg(F.min(F.struct("doc", "tag")).alias("f"), F.max(F.struct("doc", "tag")).alias("last")).where("f <> last").select("run", "f")
+    first = written(first, "first")
+    again = runs.join(first, "run").where("doc <> f.doc or tag <> f.tag").groupBy("doc", "tag").agg(F.collect_list("run").alias("found"))
+
+    def merge(batches) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for doc, tag, text, wanted in zip(pdf["doc"], pdf["tag"], pdf["text"], pdf["asks"], strict=True):
-                said = text.encode("utf-8", "surrogatepass").split()
-                for a in wanted:
-                    near = said[a["at"] : a["at"] + CONTEXT] if a["right"] else said[max(0, a["at"] - CONTEXT) : a["at"]][::-1]
-                    h = np.fromiter(map(xxhash.xxh64_intdigest, near), dtype=np.uint64, count=len(near))
-                    out.append((doc, tag, a["at"], a["right"], h.astype(np.uint32).tobytes()))
-            yield pd.DataFrame(out, columns=["doc", "tag", "at", "right", "words"])
-
-    once = keyed.join(asked, ["doc", "tag"])
-    words = written(once.mapInPandas(fetch, "doc long, tag int, at int, right boolean, words binary").dropDuplicates(["doc", "tag", "at", "right"]), "contexts")
-
-    @F.pandas_udf("int")
-    def shared(a: pd.Series, b: pd.Series) -> pd.Series:
-        """Words that agree from the start."""
-        out = np.zeros(len(a), dtype=np.int32)
-        for i, (x, y) in enumerate(zip(a, b, strict=True)):
-            if x == y:
-                out[i] = len(x) // 4
-            else:
-                u, v = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
-                m = min(len(u), len(v))
-                diff = np.flatnonzero(u[:m] != v[:m])
-                out[i] = diff[0] if len(diff) else m
-        return pd.Series(out)
-
-    theirs = words.select(F.col("doc").alias("fdoc"), F.col("tag").alias("ftag"), F.col("at").alias("fat"), "right", F.col("words").alias("fwords"))
-    grown = sides.join(words, ["doc", "tag", "at", "right"]).join(theirs, ["fdoc", "ftag", "fat", "right"]).withColumn("more", shared("words", "fwords"))
-    spans = grown.select("doc", "tag", F.when(F.col("right"), F.col("lo")).otherwise(F.col("lo") - F.col("more")).alias("start"), F.when(F.col("right"), F.col("hi") + F.col("more")).otherwise(F.col("hi")).alias("end"))
-    per = spans.distinct().groupBy("doc", "tag").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("raw"))
-
-    @F.pandas_udf("array<struct<start:int,end:int>>")
-    def merged(raw: pd.Series) -> pd.Series:
-        out = []
-        for spans in raw:
-            flat: list[list[int]] = []
-            for s in spans:
-                if flat and s["start"] < flat[-1][1]:
-                    flat[-1][1] = max(flat[-1][1], s["end"])
-                else:
-                    flat.append([s["start"], s["end"]])
-            out.append([{"start": a, "end": b} for a, b in flat if b - a >= least])
-        return pd.Series(out)
-
-    return per.select("doc", "tag", merged("raw").alias("spans")).where(F.size("spans") > 0)
+            spans = []
+            for text, found in zip(pdf["text"], pdf["found"], strict=True):
+                at = np.flatnonzero(np.isin(fingerprints(text, least)[0], _wanted(found)))
+                new = np.flatnonzero(np.diff(at) > least)
+                spans.append([{"start": int(a), "end": int(b) + least} for a, b in zip(at[np.r_[0, new + 1]], at[np.r_[new, len(at) - 1]], strict=True)])
+            yield pd.DataFrame({"doc": pdf["doc"], "tag": pdf["tag"], "spans": spans})
+
+    return concerned.select("doc", "tag", "text").join(again, ["doc", "tag"]).mapInPandas(merge, "doc long, tag int, spans array<struct<start:int,end:int>>")
 
 
 def cut(text: str, spans) -> str:
