@@ -114,3 +114,13 @@ def test_stretch_of_one_line(spark):
     around = lambda n: " ".join(word(rnd) for _ in range(n))
     texts = {1: f"{around(30)} {' '.join([line] * 60)} {around(25)}", 2: f"{around(17)} {' '.join([line] * 40)} {around(40)}", 3: f"{around(5)} {' '.join([line] * 90)}"}
     assert spans(spark, list(texts.items())) == brute(texts) == {2: [(17, 417)], 3: [(5, 905)]}
+
+
+def test_passage_of_frequent_lines(spark):
+    rnd = random.Random(8)
+    say = lambda n: " ".join(word(rnd) for _ in range(n)).capitalize() + "."
+    lines = [say(rnd.randrange(9, 13)) for _ in range(9)]
+    texts = {i: f"{say(22)} {line} {say(23)}" for i, line in enumerate(lines)}  # each line stands alone somewhere before
+    texts |= {20: f"{say(30)} {' '.join(lines)} {say(12)}", 21: f"{say(8)} {' '.join(lines)} {say(33)}"}
+    n = len(" ".join(lines).split())
+    assert spans(spark, list(texts.items())) == brute(texts) == {21: [(8, 8 + n)]}
