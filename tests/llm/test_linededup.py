@@ -124,3 +124,16 @@ def test_passage_of_frequent_lines(spark):
     texts |= {20: f"{say(30)} {' '.join(lines)} {say(12)}", 21: f"{say(8)} {' '.join(lines)} {say(33)}"}
     n = len(" ".join(lines).split())
     assert spans(spark, list(texts.items())) == brute(texts) == {21: [(8, 8 + n)]}
+
+
+def test_short_passages_of_long_sentences(spark):
+    rnd = random.Random(9)
+    say = lambda n: " ".join(word(rnd) for _ in range(n)).capitalize() + "."
+    texts = {}
+    for i in range(0, 200, 2):  # 50 to 60 words, cut anywhere
+        whole = " ".join(say(rnd.randrange(15, 25)) for _ in range(8)).split()
+        at, n = rnd.randrange(80), rnd.randrange(50, 61)
+        texts[i] = " ".join(whole)
+        texts[i + 1] = " ".join([say(rnd.randrange(10, 40)), *whole[at : at + n], say(rnd.randrange(10, 40))])
+    want = brute(texts)
+    assert len(want) == 100 and spans(spark, list(texts.items())) == want
