@@ -79,3 +79,24 @@ def test_query_against_brute_force(spark):
     got = {(r["doc_id"], r["item_id"]): r["lcs"] for r in dc.op9_decontaminate(spark, sf).collect()}
     assert len(want) > 15 and want <= set(got) and np.mean([got[k] for k in want]) == 1
     assert len(set(got) - want) <= 1
+
+
+def test_heavy_paraphrases_and_short_items(spark):
+    rnd = random.Random(12)
+    say, _ = corpus(rnd, 0)
+    items = {i: say(rnd.randrange(24, 40)) + ". " + say(6).capitalize() + "." for i in range(100)} | {100 + i: say(rnd.randrange(3, 6)) for i in range(60)}
+    mix = [w for t in items.values() for w in t.replace(".", "").split()]
+    rows, want = [], set()
+    for i, t in items.items():
+        copy, around = t.split(), [rnd.choice(mix) for _ in range(200)]
+        if i < 100:  # a third of the words changed for other benchmark words, none in the answer
+            n = len(copy) - 6
+            for j in rnd.sample(range(n), int(0.35 * len(copy))):
+                copy[j] = rnd.choice(mix)
+        around[90:90] = copy
+        rows.append((i, " ".join(around)))
+        want.add((i, i))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r["doc"], r["item_id"]) for r in dc.contaminations(docs, bench).collect()}
+    assert len({x for x in want - got if x[0] < 100}) <= 2 and not {x for x in want - got if x[0] >= 100}

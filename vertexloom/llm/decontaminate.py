@@ -10,7 +10,7 @@ Candidates are windows of SCAN words (at half-window steps) whose cosine in the
 words; a shorter item is one piece) is at least COSINE. Any SCAN words share three quarters with some window. They are
 checked on term numbers, on which all words of the item are exact: the longest common subsequence of the item and the
 words around the passage must hold LCS of the item, or WEAK of it together with its answer (its last sentence). Items of
-under SHORT words must occur whole and in one piece.
+under SHORT words must occur whole and in one piece; they are looked up by their rarest word, without the cosine.
 
 Benchmarks are taken in blocks of at most BLOCK_WORDS words, so what is broadcast is bounded however large the benchmark is.
 """
@@ -32,8 +32,8 @@ PASSAGE = 40
 SCAN = 24
 STEP = SCAN // 2
 DIM = 64
-MAX_DF = 0.03
-COSINE = 0.6
+MAX_DF = 0.1
+COSINE = 0.45
 LCS = 0.75
 WEAK = 0.6
 ANSWER = 0.8
@@ -210,13 +210,9 @@ def latent_space(encoded: DataFrame, weights: np.ndarray, dim: int = DIM, seed:
 
 def _checked(items: Items, masks: list[dict[int, int]], answers: list[dict[int, int]], k: int, words: np.ndarray, at: int) -> tuple[float, bool, int, int] | None:
     """(share of the item found, answer found, region) around a window at word ``at``, if that makes a contamination."""
-    item = items.sequences[k]
-    m = len(item)
+    m = len(items.sequences[k])
     lo, hi = max(0, at - m), min(len(words), at + SCAN + m)
     region = words[lo:hi].tolist()
-    if m < SHORT:
-        found = any(region[i : i + m] == item for i in range(len(region) - m + 1))
-        return (1.0, True, lo, hi) if found else None
     share = lcs(masks[k], m, region) / m
     if share < WEAK:
         return None
@@ -225,20 +221,40 @@ def _checked(items: Items, masks: list[dict[int, int]], answers: list[dict[int,
     return (share, answered, lo, hi) if share >= LCS or answered else None
 
 
-def _search(encoded: DataFrame, items: Items, weights: np.ndarray, space: np.ndarray, cosine: float) -> DataFrame:
+def _whole(words: np.ndarray, item: np.ndarray, anchor: int) -> Iterator[int]:
+    """Positions of a whole item in a text, found by one of its words."""
+    m = len(item)
+    at = np.flatnonzero(words[anchor : len(words) - m + anchor + 1] == item[anchor])
+    for j in range(m):
+        at = at[words[at + j] == item[j]]
+    yield from at.tolist()
+
+
+def _search(encoded: DataFrame, items: Items, weights: np.ndarray, counts: np.ndarray, space: np.ndarray, cosine: float) -> DataFrame:
     heavy = (space * weights[:, None]).astype(np.float32)
-    pieces = [(k, s[a : a + SCAN]) for k, s in enumerate(items.sequences) for a in sorted({*range(0, max(1, len(s) - SCAN + 1), SCAN), max(0, len(s) - SCAN)})]
-    owner = np.array([k for k, _ in pieces])
-    points = np.stack([heavy[s].sum(axis=0) for _, s in pieces])
+    short: dict[int, list[tuple[int, np.ndarray, int]]] = {}  # by rarest word
+    for k, s in enumerate(items.sequences):
+        if len(s) < SHORT:
+            anchor = int(np.argmin(counts[s]))
+            short.setdefault(s[anchor], []).append((k, np.array(s, dtype=np.int32), anchor))
+    rare = np.zeros(len(weights), dtype=bool)
+    rare[list(short)] = True
+    pieces = [(k, s[a : a + SCAN]) for k, s in enumerate(items.sequences) if len(s) >= SHORT for a in sorted({*range(0, max(1, len(s) - SCAN + 1), SCAN), max(0, len(s) - SCAN)})]
+    owner = np.array([k for k, _ in pieces], dtype=np.int64)
+    points = np.array([heavy[s].sum(axis=0) for _, s in pieces], dtype=np.float32).reshape(-1, heavy.shape[1])
     points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-9)
     masks, answers = [masks_of(s) for s in items.sequences], [masks_of(s) for s in items.answers]
     # an item without any weighing term has no direction: it is compared with passages that hold its first word
-    blank = [(k, items.sequences[k][0]) for k in range(len(items.ids)) if not np.abs(points[owner == k]).sum()]
+    blank = [(k, items.sequences[k][0]) for k in np.unique(owner).tolist() if not np.abs(points[owner == k]).sum()]
 
     def find(batches):
         for pdf in batches:
             out = []
             for docs, arrays in _unpack(pdf):
+                for d, said in enumerate(arrays):
+                    for t in np.unique(said[rare[said]]).tolist():
+                        for k, item, anchor in short[t]:
+                            out += [(docs["doc"].iloc[d], docs["tag"].iloc[d], items.ids[k], 1.0, True, a, a + len(item)) for a in _whole(said, item, anchor)]
                 pieces, start = _pieces(arrays, STEP)
                 n = len(pieces)
                 half = _gathered(pieces, heavy)
@@ -308,7 +324,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_
         weights = np.log((1 + passages) / (1 + counts)).astype(np.float32)
         weights[(counts > max(50, MAX_DF * passages)) | (weights <= 0)] = 0
         weights[0] = 0
-        out = out.unionByName(_search(encoded, items, weights, latent_space(encoded, weights), cosine))
+        out = out.unionByName(_search(encoded, items, weights, counts, latent_space(encoded, weights), cosine))
     return out
 
 
