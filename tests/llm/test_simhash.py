@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 import pytest
 import xxhash
 
@@ -75,3 +76,22 @@ def test_query(spark, sf_dir):
         least.setdefault(root[f], d)
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.op1_simhash(spark, sf_dir).collect()}
     assert got == {d: (f"{f:016x}", least[root[f]]) for d, f in fps.items()}
+
+
+def test_near_copies_by_similarity(spark):
+    rnd = random.Random(14)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    of = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, near = [], set()
+    for i in range(0, 400, 2):
+        said = [word() for _ in range(rnd.randrange(60, 400))]
+        copy = list(said)
+        for j in rnd.sample(range(len(said)), max(1, int(len(said) * rnd.choice([0.004, 0.01, 0.02, 0.025, 0.06])))):
+            copy[j] = word()
+        a, b = of(said), of(copy)
+        if len(a & b) >= 0.8 * len(a | b):
+            near.add(i + 1)
+        rows += [(i, " ".join(said)), (i + 1, " ".join(copy))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert len(near) > 100 and len(near & kept) <= 1 and set(range(400)) - kept <= near

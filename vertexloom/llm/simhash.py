@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vertexloom.llm import jaccard
 from vertexloom.llm.components import connected_components
 from vertexloom.session import written
 
@@ -39,22 +40,30 @@ SEED = 42
 CHUNK = 1 << 15
 
 
-def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    """Unsigned 64-bit SimHash of the word shingles of a whole text (A-Z lower-cased); 0 without words."""
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Hashes of the word shingles of a whole text (A-Z lower-cased), repeats included; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     if len(words) < width:
-        shingles: Iterator[bytes] = iter([b" ".join(words)])
-        n = 1
+        said: Iterator[bytes] = iter([b" ".join(words)] if words else [])
     else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-        n = len(words) - width + 1
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype="<u8", count=n)
+        said = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in said), dtype="<u8")
+
+
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
+    """Unsigned 64-bit SimHash of the word shingles of a whole text (A-Z lower-cased); 0 without words."""
+    return folded(shingles(text, width)) & ((1 << 64) - 1)
+
+
+def folded(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of shingle hashes; 0 without any."""
+    n = len(hashes)
+    if not n:
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, n, CHUNK):
         ones += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH) -> DataFrame:
@@ -110,7 +119,7 @@ def links(fps: DataFrame) -> DataFrame:
     return chained.unionByName(whole).select(F.col("fp").alias("u"), F.col("to").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, similar: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row: the smallest doc_id reachable over links, itself included.
 
     Null texts are empty; texts without words have fingerprint 0 and link like any other. Repeated rows give repeated rows.
@@ -119,7 +128,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     rows = written(fingerprints(docs, id_column, text_column, width), "fingerprints")
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    found = connected_components(links(fps.select("fp")))
+    linked = links(fps.select("fp"))
+    if similar is not None:
+        linked = linked.unionByName(jaccard.links(docs, text_column, width, similar))
+    found = connected_components(linked)
     rooted = fps.join(found, fps.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     best = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(best, "root").select("fp", "component_id")
