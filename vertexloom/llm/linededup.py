@@ -1,16 +1,19 @@
-"""Repeated passages across documents, by winnowing over hashes of word runs.
-
-A word range of a document repeats an earlier one if it's covered by runs of LEAST words that earlier documents hold.
-
-1. Of every LEAST words, the smallest hash of a run of half as many words is a fingerprint, so any LEAST words that two
-   documents share have the same one, wherever lines or sentences begin. Each document's distinct fingerprints are grouped
-   by hash; those of two or more documents are shared.
-2. Documents with shared fingerprints are read again. They emit the hash of each run of LEAST words whose fingerprint is
-   shared, once per hash and document, and each hash's first document, by id, stands for it. Runs that an earlier document
-   holds are repeats, whichever document that is; nothing hangs on where else their words occur.
-3. Documents get their repeated hashes back and merge the runs that have them.
-
-Texts are read three times, and those concerned shuffled by id; no positions move.
+"""Repeated passages, by winnowing over hashes of word runs.
+
+A word is repeated if it lies in LEAST words that stood before: in an earlier document, by id, or earlier in its own. Only
+later repeats go. Lines here begin at every word, since passages are also cut inside lines: a line is RUN words.
+
+1. Winnowing: of the line hashes in every LEAST words, the smallest (the first of equal ones) is the fingerprint, so equal
+   passages of LEAST words have the same one. Neighbouring starts with one fingerprint at one place make a stretch: the
+   starts, and the words from the first start to the end of the last passage, which reach both ways from the fingerprint.
+   Stretches are one row each, of two hashes (fingerprint; all the stretch's words), place, and number of starts.
+2. Positions are joined by fingerprint. Stretches alike in all words repeat the first of them whole: copies and long passages
+   cost no more than that, however many share them.
+3. Where stretches with one fingerprint differ, matches end inside them. The first of each kind is extended to the word:
+   the hashes of its passages of LEAST words (at most LEAST - RUN + 1) are joined, and those that stood before are repeats.
+
+So the result is exact but for equal 64-bit hashes: no partner is preferred, and nothing is as large as a group squared.
+Texts are read twice, the second time only those with such differing stretches, which alone are shuffled.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,56 +31,106 @@ from pyspark.sql import functions as F
 from vertexloom.session import written
 
 LEAST = 50
-BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(BASE, -1, 1 << 64)
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Hashes in one piece of output.
-PIECE = 200_000
+RUN = 20
+#: Bytes, words, and documents' bytes that are worked on at once.
+BYTES = 1 << 18
+WORDS = 1 << 17
+GROUP = 1 << 20
 #: The id that stands for a null one: it comes first.
 NO_ID = -(1 << 63)
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_BASE = 0x9E3779B97F4A7C15
+_RANDOM = np.random.default_rng(31).integers(0, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: Bits of a line hash that rank it; the rest of the 64 hold its place.
+_RANK = ~np.uint64((1 << 20) - 1)
 
 
-class _Powers:
-    """Powers of BASE and of its inverse mod 2**64."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(BASE, len(self.up), 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(_INVERSE, len(self.down), 1 << 64))])
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = _Powers()
+def _powers(base: int) -> np.ndarray:
+    out = np.ones(1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        while len(out) < max(BYTES, WORDS + LEAST):
+            out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+    return out
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """Hash of each word of a whole text."""
-    words = text.encode("utf-8", "surrogatepass").split()
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
 
-def prefixes(hashes: np.ndarray) -> np.ndarray:
-    """Prefix hashes mod 2**64, n + 1 of them."""
-    up, _ = _POWERS.get(max(1, len(hashes)))
+def _prefixes(values: np.ndarray) -> np.ndarray:
+    """Prefix hashes mod 2**64, one more than values."""
     with np.errstate(over="ignore"):
-        return np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64)])
+        return np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(values * _UP[: len(values)], dtype=np.uint64)])
 
 
-def _runs(p: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the run of ``size`` words at each position, from prefix hashes."""
-    at = len(p) - size
+def _between(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the values from start to end, wherever they stand."""
     with np.errstate(over="ignore"):
-        code = (p[size:] - p[:at]) * _POWERS.get(max(1, at))[1]
+        code = (p[end] - p[start]) * _DOWN[start]
         code ^= code >> np.uint64(29)
         code *= np.uint64(0xBF58476D1CE4E5B9)
         code ^= code >> np.uint64(32)
     return code
 
 
-def _least(x: np.ndarray, size: int) -> np.ndarray:
+def word_hashes(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, its first byte) of UTF-8 bytes; no word goes over a break."""
+    hashes, places, at = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], 0
+    while at < len(data):
+        block = data[at : at + BYTES]
+        inside = breaks[np.searchsorted(breaks, at, side="right") : np.searchsorted(breaks, at + len(block))] - at
+        blank = _BLANK[block]
+        if at + len(block) < len(data) and not blank[-1] and at + len(block) not in breaks[np.searchsorted(breaks, at + len(block)) :][:1]:
+            gaps = np.flatnonzero(blank[-4096:])
+            gap = len(block) - len(blank[-4096:]) + gaps[-1] + 1 if len(gaps) else np.flatnonzero(blank).max(initial=-1) + 1
+            cut = max(int(gap), int(inside.max(initial=0)))
+            if not cut:  # a word of BYTES bytes or more
+                end = at + BYTES
+                later = breaks[np.searchsorted(breaks, end) :][:1]
+                stop = int(later[0]) if len(later) else len(data)
+                while end < stop and not _BLANK[data[end]]:
+                    found = np.flatnonzero(_BLANK[data[end : min(stop, end + BYTES)]])
+                    end = end + int(found[0]) if len(found) else min(stop, end + BYTES)
+                hashes.append(np.array([xxhash.xxh64_intdigest(data[at:end].tobytes())], dtype=np.uint64))
+                places.append(np.array([at]))
+                at = end
+                continue
+            block, blank, inside = block[:cut], blank[:cut], inside[inside < cut]
+        first = ~blank
+        last = first.copy()
+        first[1:] &= blank[:-1]
+        last[:-1] &= blank[1:]
+        if len(inside):
+            first[inside] = ~blank[inside]
+            last[inside - 1] = ~blank[inside - 1]
+        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        if len(start) == 1 and end[0] - start[0] >= BYTES:
+            hashes.append(np.array([xxhash.xxh64_intdigest(block[start[0] : end[0]].tobytes())], dtype=np.uint64))
+        else:
+            hashes.append(_between(_prefixes(_RANDOM[block]), start, end))
+        places.append(start + at)
+        at += len(block)
+    return np.concatenate(hashes), np.concatenate(places)
+
+
+def _grouped(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, word hashes, words before each row and after the last) of some rows at a time."""
+    column = column.cast(pa.large_binary())
+    if not len(column):
+        return
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + GROUP, side="right")) - 1)
+        breaks = offsets[at:to] - offsets[at]
+        hashes, places = word_hashes(data[offsets[at] : offsets[to]], breaks[1:])
+        yield at, hashes, np.append(np.searchsorted(places, breaks), len(hashes))
+        at = to
+
+
+def _smallest(x: np.ndarray, size: int) -> np.ndarray:
     """Smallest of every ``size`` neighbours."""
     width = 1
     while 2 * width <= size:
@@ -84,13 +138,25 @@ def _least(x: np.ndarray, size: int) -> np.ndarray:
     return x if width == size else np.minimum(x[: len(x) - size + width], x[size - width :])
 
 
-def fingerprints(text: str, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each run of ``least`` words, its fingerprint); none for texts under ``least`` words."""
-    hashes = word_hashes(text)
-    if len(hashes) < least:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
-    p, half = prefixes(hashes), (least + 1) // 2
-    return _runs(p, least), _least(_runs(p, half), least - half + 1)
+def stretches(hashes: np.ndarray, bounds: np.ndarray, least: int, run: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(fingerprint, hash of all words, first start, starts) of the stretches in documents' words; see step 1.
+
+    Works on WORDS starts at a time; a stretch over that border counts as two, which changes no result."""
+    for at in range(0, len(hashes) - least + 1, WORDS):
+        some = hashes[at : at + WORDS + least - 1]
+        n = len(some) - least + 1
+        start = np.arange(n)
+        end = bounds[np.searchsorted(bounds, start + at, side="right")] - at
+        start = start[start + least <= end]
+        if not len(start):
+            continue
+        p = _prefixes(some)
+        place = np.arange(len(some) - run + 1)
+        lines = _between(p, place, place + run)
+        chosen = (_smallest((lines & _RANK) | place.astype(np.uint64), least - run + 1) & ~_RANK)[start].astype(np.int64)
+        new = np.flatnonzero(np.r_[True, (chosen[1:] != chosen[:-1]) | (np.diff(start) != 1)])
+        first, count = start[new], np.diff(np.append(new, len(start)))
+        yield lines[chosen[new]], _between(p, first, first + count - 1 + least), first + at, count
 
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -99,65 +165,78 @@ def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("doc"), F.hash(text).alias("tag"), text.alias("text"))
 
 
-def _rows(pdf: pd.DataFrame, codes: Iterator[np.ndarray], name: str) -> Iterator[pd.DataFrame]:
-    """(hash, doc, tag) of each document's hashes, in pieces."""
-    held, size = [], 0
-    for i, c in enumerate(codes):
-        held.append((i, c))
-        size += len(c)
-        if size > PIECE or i == len(pdf) - 1:
-            at = np.repeat([j for j, _ in held], [len(x) for _, x in held])
-            if size:
-                yield pd.DataFrame({name: np.concatenate([x for _, x in held]).view(np.int64), "doc": pdf["doc"].to_numpy()[at], "tag": pdf["tag"].to_numpy()[at]})
-            held, size = [], 0
-
+def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST, run: int = RUN) -> DataFrame:
+    """(doc, tag, spans array<struct<start, end>>): word ranges that stood before, for documents that have any.
 
-def _wanted(asked: list) -> np.ndarray:
-    return np.asarray(asked, dtype=np.int64).view(np.uint64)
-
-
-def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST) -> DataFrame:
-    """(doc, tag, spans array<struct<start, end>>): word ranges that repeat an earlier document, for documents that have any.
-
-    Documents are in order of id (a null id, here NO_ID, comes first), then of their text's hash. Repeats inside one document
-    are left alone, and so are rows equal in id and text. Null texts are empty; an empty table gives an empty one.
+    Documents are in order of id (a null id, here NO_ID, comes first), then of their text's hash; rows equal in id and text
+    are one document. Null texts are empty, and texts under ``least`` words repeat nothing. Texts of any length are
+    read whole, in blocks. An empty table gives an empty one. ``run`` <= ``least`` sets the cost, not the result.
     """
     keyed = _keyed(docs, id_column, text_column)
 
-    def emit(batches) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield from _rows(pdf, (np.unique(fingerprints(t, least)[1]) for t in pdf["text"]), "fp")
-
-    seeds = written(keyed.mapInPandas(emit, "fp long, doc long, tag int"), "seeds")
-    shared = seeds.groupBy("fp").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.min("tag").alias("s"), F.max("tag").alias("t")).where("a <> b or s <> t").select("fp")
-    shared = written(shared, "shared")  # a join of two plain shuffles: adaptive execution can split a line that is everywhere
-    asked = seeds.join(shared, "fp").groupBy("doc", "tag").agg(F.collect_set("fp").alias("asked"))
-    concerned = written(keyed.dropDuplicates(["doc", "tag"]).join(asked, ["doc", "tag"]), "concerned")
-
-    def hold(batches) -> Iterator[pd.DataFrame]:
-        def codes(pdf):
-            for text, wanted in zip(pdf["text"], pdf["asked"], strict=True):
-                runs, prints = fingerprints(text, least)
-                yield np.unique(runs[np.isin(prints, _wanted(wanted))])
-
-        for pdf in batches:
-            yield from _rows(pdf, codes(pdf), "run")
-
-    runs = written(concerned.mapInPandas(hold, "run long, doc long, tag int"), "runs")
-    first = runs.groupBy("run").agg(F.min(F.struct("doc", "tag")).alias("f"), F.max(F.struct("doc", "tag")).alias("last")).where("f <> last").select("run", "f")
-    first = written(first, "first")
-    again = runs.join(first, "run").where("doc <> f.doc or tag <> f.tag").groupBy("doc", "tag").agg(F.collect_list("run").alias("found"))
-
-    def merge(batches) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def cut_up(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, tag = batch.column("doc").to_numpy(zero_copy_only=False), batch.column("tag").to_numpy(zero_copy_only=False)
+            for row, hashes, bounds in _grouped(batch.column("text")):
+                for fp, ctx, start, count in stretches(hashes, bounds, least, run):
+                    owner = np.searchsorted(bounds, start, side="right") - 1
+                    with np.errstate(over="ignore"):  # within a document, all but the first of equal stretches
+                        once = fp * np.uint64(3) ^ ctx ^ owner.astype(np.uint64) * np.uint64(_BASE)
+                    again = np.ones(len(fp), dtype=bool)
+                    again[np.unique(once, return_index=True)[1]] = False
+                    columns = [fp.view(np.int64), ctx.view(np.int64), doc[row + owner], tag[row + owner], (start - bounds[owner]).astype(np.int32), count.astype(np.int32), again]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["fp", "ctx", "doc", "tag", "start", "n", "again"])
+
+    rows = written(keyed.mapInArrow(cut_up, "fp long, ctx long, doc long, tag int, start int, n int, again boolean"), "stretches")
+    fresh = rows.where("not again")
+    # equal rows come twice; one is enough for both, and their stretches fall on the same place
+    shared = fresh.groupBy("fp").agg(F.min("ctx").alias("a"), F.max("ctx").alias("b"), F.count("*").alias("c")).where("c > 1").select("fp", (F.col("a") != F.col("b")).alias("mixed"))
+    live = written(fresh.join(written(shared, "shared"), "fp").select("fp", "ctx", "mixed", "doc", "tag", "start", "n"), "live")
+    place = F.struct("doc", "tag", "start")
+    firsts = written(live.groupBy("fp", "ctx").agg(F.min(place).alias("f")), "firsts")
+    known = live.join(firsts, ["fp", "ctx"])
+    is_first = (F.col("doc") == F.col("f.doc")) & (F.col("tag") == F.col("f.tag")) & (F.col("start") == F.col("f.start"))
+    known = written(known.select("doc", "tag", "start", "n", "mixed", is_first.alias("is_first")).where("mixed or not is_first"), "known")
+    asked = known.where("mixed and is_first").groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "n")).alias("asked"))
+
+    def extend(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, tag, wanted = (batch.column(c) for c in ("doc", "tag", "asked"))
+            for row, hashes, bounds in _grouped(batch.column("text")):
+                some = wanted.slice(row, len(bounds) - 1)
+                flat = some.flatten()
+                owner = np.repeat(np.arange(len(some)), some.value_lengths().to_numpy(zero_copy_only=False))
+                start, n = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+                start, owner = np.repeat(start + bounds[owner], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), np.repeat(owner, n)
+                for at in range(0, len(hashes), WORDS):
+                    mine = (start >= at) & (start < at + WORDS)
+                    here, whose = start[mine] - at, owner[mine]
+                    if len(here):
+                        codes = _between(_prefixes(hashes[at : at + WORDS + least]), here, here + least)
+                        columns = [codes.view(np.int64), doc.take(pa.array(row + whose)), tag.take(pa.array(row + whose)), (here + at - bounds[whose]).astype(np.int32)]
+                        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["code", "doc", "tag", "start"])
+
+    concerned = keyed.join(asked, ["doc", "tag"])
+    passages = written(concerned.mapInArrow(extend, "code long, doc long, tag int, start int"), "passages")
+    first = written(passages.groupBy("code").agg(F.min(place).alias("f"), F.count("*").alias("c")).where("c > 1").select("code", "f"), "first")
+    later = passages.join(first, "code").where(~is_first).select("doc", "tag", "start", F.lit(1).alias("n"))
+    found = later.unionByName(rows.where("again").select("doc", "tag", "start", "n")).unionByName(known.where("not is_first").select("doc", "tag", "start", "n"))
+    ends = found.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "n")).alias("starts"))
+
+    def merge(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             spans = []
-            for text, found in zip(pdf["text"], pdf["found"], strict=True):
-                at = np.flatnonzero(np.isin(fingerprints(text, least)[0], _wanted(found)))
-                new = np.flatnonzero(np.diff(at) > least)
-                spans.append([{"start": int(a), "end": int(b) + least} for a, b in zip(at[np.r_[0, new + 1]], at[np.r_[new, len(at) - 1]], strict=True)])
-            yield pd.DataFrame({"doc": pdf["doc"], "tag": pdf["tag"], "spans": spans})
+            for starts in batch.column("starts"):
+                pairs = starts.values
+                a, n = (pairs.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+                order = np.argsort(a, kind="stable")
+                a, b = a[order], np.maximum.accumulate((a + n - 1 + least)[order])
+                new = np.flatnonzero(a[1:] > b[:-1]) + 1
+                spans.append([{"start": int(x), "end": int(y)} for x, y in zip(a[np.r_[0, new]], b[np.r_[new - 1, len(b) - 1]], strict=True)])
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("tag"), pa.array(spans, type=kind)], names=["doc", "tag", "spans"])
 
-    return concerned.select("doc", "tag", "text").join(again, ["doc", "tag"]).mapInPandas(merge, "doc long, tag int, spans array<struct<start:int,end:int>>")
+    return ends.mapInArrow(merge, "doc long, tag int, spans array<struct<start:int,end:int>>")
 
 
 def cut(text: str, spans) -> str:
@@ -170,19 +249,36 @@ def cut(text: str, spans) -> str:
     return "".join([*out, text[done:]]).rstrip() if out else text
 
 
+def _free(columns: list[str], *names: str) -> list[str]:
+    """Names that no column has, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST) -> DataFrame:
-    """The documents without their repeats of earlier ones; documents of which nothing is left are dropped. Columns are kept
-    (a column n_chars with the length of the text is set anew)."""
-    found = repeats(docs, id_column, text_column, least).select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans"))
+    """The documents without their repeats of what stood before; documents of which nothing is left are dropped.
+
+    Columns are kept (a column n_chars with the length of the text is set anew), whatever they are named. Documents without
+    repeats come through as they are, null and empty texts and null ids among them. Rows equal in id and text are cut alike.
+    An empty table gives an empty one.
+    """
+    doc, tag, spans = _free(docs.columns, "_doc", "_tag", "_spans")
+    found = repeats(docs, id_column, text_column, least).toDF(doc, tag, spans)
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    joined = docs.join(found, (F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)) == F.col("_doc")) & (F.hash(text) == F.col("_tag")), "left")
+    joined = docs.join(found, (F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)) == F.col(doc)) & (F.hash(text) == F.col(tag)), "left")
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None else cut(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
+        return pd.Series([None if t is None or s is None else cut(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    touched = F.col("_spans").isNotNull()
-    clean = joined.withColumn(text_column, F.when(touched, without(F.col(text_column).cast("string"), "_spans")).otherwise(F.col(text_column)))
+    touched = F.col(spans).isNotNull()
+    rest = without(F.when(touched, F.col(text_column).cast("string")), spans)  # Python gets the texts that change
+    clean = joined.withColumn(tag, rest).withColumn(text_column, F.when(touched, F.col(tag)).otherwise(F.col(text_column)))
     clean = clean.where(~touched | (F.col(text_column) != ""))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(touched, F.length(text_column).cast("long")).otherwise(F.col("n_chars")))
