@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from vertexloom.llm import linededup as ld
+from vertexloom.llm import wordhash
 
 
 def docs(spark, rows):
@@ -151,15 +152,15 @@ def test_blocks(spark, monkeypatch):
     columns = [pa.array(list(texts.values())), pa.array(["", "x" * 700, "é" * 300 + " b", "y" * 512, "y" * 512 + " "])]
 
     def words(column):
-        return [h[a:b].tolist() for _, h, bounds in ld._grouped(column) for a, b in zip(bounds, bounds[1:], strict=False)]
+        return [h[a:b].tolist() for _, h, bounds in wordhash.grouped(column) for a, b in zip(bounds, bounds[1:], strict=False)]
 
     whole = [words(c) for c in columns]
     assert [len(w) for w in whole[0]] == [len(t.split()) for t in texts.values()] and whole[1][3] == whole[1][4]
-    monkeypatch.setattr(ld, "BYTES", 512)
-    monkeypatch.setattr(ld, "GROUP", 3000)
+    monkeypatch.setattr(wordhash, "BYTES", 512)
+    monkeypatch.setattr(wordhash, "GROUP", 3000)
     assert [[len(w) for w in c] for c in map(words, columns)] == [[len(w) for w in c] for c in whole]
     assert words(columns[0]) == whole[0] and words(columns[1])[3] == words(columns[1])[4]
-    monkeypatch.setattr(ld, "WORDS", 64)
+    monkeypatch.setattr(wordhash, "WORDS", 64)
     bounds = np.array([0, 150, 150, 400])
     hashes = np.concatenate([np.arange(1, 151), np.arange(1, 251)]).astype(np.uint64)
     starts = [(int(s), int(n)) for _, _, first, count in ld.stretches(hashes, bounds, 50, 20) for s, n in zip(first, count, strict=True)]

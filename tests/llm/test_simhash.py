@@ -3,10 +3,11 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 import xxhash
 
-from vertexloom.llm import simhash
+from vertexloom.llm import jaccard, simhash
 
 
 def plain(text):
@@ -63,8 +64,9 @@ def test_edges(spark, rows):
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, fp string, root long")
     got = sorted((r["doc_id"] or -1, r["component_id"]) for r in simhash.near_duplicates(docs).collect())
     assert got == ([(-1, 3), (3, 3), (3, 3), (5, 3), (7, 7), (8, 7), (9, 7)] if rows else [])
-    kept = sorted(r["doc_id"] or -1 for r in simhash.keep_one(docs).collect())
-    assert kept == ([-1, 3, 7] if rows else [])
+    for how in ({}, {"width": 5, "similar": 0.8}):
+        kept = simhash.keep_one(docs.withColumnRenamed("root", "_kept_id"), **how)
+        assert kept.columns == ["doc_id", "text", "fp", "_kept_id"] and sorted(r["doc_id"] for r in kept.collect()) == ([3, 7] if rows else [])
 
 
 def test_query(spark, sf_dir):
@@ -78,6 +80,65 @@ def test_query(spark, sf_dir):
     assert got == {d: (f"{f:016x}", least[root[f]]) for d, f in fps.items()}
 
 
+def test_rows_of_one_id(spark):
+    rnd = random.Random(5)
+    texts = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(80)) for _ in range(3)]
+    rows = [(5, texts[0]), (5, texts[1]), (3, texts[0]), (7, texts[2]), (7, texts[2]), (None, texts[2])]
+    for order in (rows, rows[::-1]):
+        kept = simhash.keep_one(spark.createDataFrame(order, "doc_id long, text string"), width=5, similar=0.8)
+        assert sorted(map(tuple, kept.collect())) == sorted([(3, texts[0]), (5, texts[1]), (7, texts[2])])
+
+
+def test_candidates_of_a_bucket():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 256, jaccard.PLACES)
+    signatures = np.stack([np.where(rng.random(jaccard.PLACES) < q, base, rng.integers(0, 256, jaccard.PLACES)) for q in [1, 0.95, 0.95, 0.9, 0.9, 0.2, 0.1]]).astype(np.uint8)
+    got = jaccard.chosen(signatures)
+    assert all(i < j < 5 for i, j in got) and {x for p in got for x in p} == set(range(5))
+
+
+def similar(texts, least=0.8):
+    """Links between ids by brute force: Jaccard similarity of five-word shingles."""
+    sets = {}
+    for d, t in texts.items():
+        w = t.encode().lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    ids = sorted(sets)
+    return [(a, b) for i, b in enumerate(ids) for a in ids[:i] if sets[a] and sets[b] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+
+
+def first_of(ids, pairs):
+    """The smallest id of each component."""
+    root = {i: i for i in ids}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = top(a), top(b)
+        root[max(x, y)] = min(x, y)
+    return {top(i) for i in ids}
+
+
+@pytest.mark.parametrize("crowd", [128, 12])
+def test_family_of_near_copies(spark, monkeypatch, crowd):
+    """Copies with more or fewer words changed: many are near one another, many are not; also in buckets over CROWD."""
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    rnd = random.Random(15)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    said, texts = [word() for _ in range(150)], {}
+    for i in range(150):
+        copy = list(said)
+        for j in rnd.sample(range(150), rnd.choice([0, 1, 1, 2, 4, 6, 8, 12])):
+            copy[j] = word()
+        texts[i] = " ".join(copy)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert len(kept) > 5 and kept == first_of(texts, similar(texts))
+
+
 def test_near_copies_by_similarity(spark):
     rnd = random.Random(14)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))

@@ -1,77 +1,207 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash buckets, every candidate checked on the shingles themselves.
+"""Near copies by the Jaccard similarity of word shingles: MinHash buckets, a few candidates a text, an exact check of each.
 
-Distinct texts (by a 64-bit hash) get BANDS keys of ROWS least hashes each; two texts at similarity s share a key with
-probability 1 - (1 - s ** ROWS) ** BANDS: 0.9996 at 0.8. In a bucket every text is checked against the smallest one; those that
-aren't near it stay and are checked against the smallest of them, until none is left. So rows grow with texts times rounds,
-not with pairs. A text in a bucket that is near the smallest one is linked there and isn't compared with the rest.
+Distinct texts (by a 64-bit hash) get BANDS keys of ROWS least hashes; two texts at similarity s share one with probability
+1 - (1 - s ** ROWS) ** BANDS: 0.9996 at 0.8. Texts that meet are read again for their shingles and a signature (PLACES least
+hashes, a byte each), from which similarities in a bucket are estimated without pairs leaving it.
+
+* Buckets of up to CROWD texts: of the pairs whose estimate comes to CUT, a spanning forest by estimate and each text's TOP
+  nearest are candidates. So they grow with a bucket's texts, not with their square, and whatever hangs together by estimates
+  hangs together by candidates.
+* Larger buckets: texts that all but equal the first one (estimate SAME) are candidates with it and go. The rest is dealt
+  into smaller buckets by DEALT further keys of ROWS places each. A near pair shares 6.5 buckets on average, and more after
+  every deal, so few are parted. After DEPTH deals, overlapping blocks in order of signatures end it.
+
+Every candidate, once, is checked on the shingles themselves.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm import simhash
+from vertexloom.functions.ordered import running
+from vertexloom.llm import wordhash
 from vertexloom.session import written
 
 SIMILAR = 0.8
 ROWS = 5
 BANDS = 20
-CHUNK = 4096
-_RANDOM = np.random.default_rng(11).integers(0, 1 << 63, size=(3, ROWS * BANDS), dtype=np.uint64)
+PLACES = 256
+CROWD = 128
+TOP = 3
+CUT = 0.7
+SAME = 0.97
+DEALT = 5
+DEPTH = 12
+CHUNK = 2048
+_RANDOM = np.random.default_rng(11).integers(0, 1 << 63, size=(3, PLACES), dtype=np.uint64)
 _ODD = _RANDOM[1] * np.uint64(2) + np.uint64(1)
 
 
+def least_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The least of a set's hashes under each of n mixings."""
+    least = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(hashes), CHUNK):
+            least = np.minimum(least, ((hashes[at : at + CHUNK, None] ^ _RANDOM[0, :n]) * _ODD[:n]).min(axis=0))
+    return least
+
+
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """BANDS keys of a set of shingle hashes."""
-    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    least = least_hashes(hashes, ROWS * BANDS)
     with np.errstate(over="ignore"):
-        for at in range(0, len(hashes), CHUNK):
-            mixed = (hashes[at : at + CHUNK, None] ^ _RANDOM[0]) * _ODD
-            mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
-            least = np.minimum(least, mixed.min(axis=0))
-        return ((least ^ least >> np.uint64(29)) * (_RANDOM[2] | np.uint64(1))).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)
+        return ((least ^ least >> np.uint64(29)) * (_RANDOM[2, : ROWS * BANDS] | np.uint64(1))).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)
+
+
+def signature(hashes: np.ndarray) -> bytes:
+    """PLACES bytes; two sets agree in about as many of them as they are similar."""
+    least = least_hashes(hashes, PLACES)
+    return ((least ^ least >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def shingles(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the shingles of words' hashes, repeats included: the whole sequence if it is shorter; none without words."""
+    start = np.arange(max(1, len(words) - width + 1))
+    out = [np.zeros(0, dtype=np.uint64)]
+    for at in range(0, len(start) if len(words) else 0, wordhash.WORDS):
+        some = start[at : at + wordhash.WORDS] - at
+        sums = wordhash.prefixes(words[at : at + len(some) - 1 + width])
+        out.append(wordhash.between(sums, some, np.minimum(some + width, len(sums) - 1)))
+    return np.concatenate(out)
+
+
+def _shingled(batch: pa.RecordBatch, width: int):
+    """(row, shingle hashes) of the texts of a batch, A-Z as a-z."""
+    for row, hashes, bounds in wordhash.grouped(batch.column("text"), lower=True):
+        for i in range(len(bounds) - 1):
+            yield row + i, shingles(hashes[bounds[i] : bounds[i + 1]], width)
+
+
+def banded(docs: DataFrame, id_column: str, text_column: str, width: int) -> DataFrame:
+    """(doc_id, tag, fp, keys) of every row: hash of the text, SimHash, band keys (none for texts without words)."""
+    from vertexloom.llm.simhash import folded
+
+    def run(batches):
+        for batch in batches:
+            fps, keys = np.zeros(batch.num_rows, dtype=np.int64), [[]] * batch.num_rows
+            for row, s in _shingled(batch, width):
+                if len(s):
+                    fps[row], keys[row] = folded(s), band_keys(np.unique(s)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(fps), pa.array(keys, type=pa.list_(pa.int64()))], names=["doc_id", "tag", "fp", "keys"])
+
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), *_texts(text_column))
+    return rows.mapInArrow(run, "doc_id long, tag long, fp long, keys array<long>")
 
 
-def links(docs: DataFrame, text_column: str, width: int, similar: float = SIMILAR) -> DataFrame:
-    """(u, v): fingerprints of texts whose shingles (A-Z lower-cased) are at least ``similar``; texts without words link nothing."""
+def _texts(text_column: str) -> tuple:
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    texts = docs.select(F.xxhash64(text).alias("tag"), text.alias("text"))
+    return F.xxhash64(text).alias("tag"), text.alias("text")
 
-    def band(batches):
-        for pdf in batches:
+
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a == b).mean(axis=-1)
+
+
+def chosen(signatures: np.ndarray) -> list[tuple[int, int]]:
+    """Candidates of a bucket, as index pairs; see above."""
+    n = len(signatures)
+    near = np.stack([_agreement(signatures, s) for s in signatures])
+    np.fill_diagonal(near, 0)
+    out = set()
+    for i in range(n):
+        best = np.argsort(-near[i], kind="stable")[:TOP]
+        out |= {(min(i, j), max(i, j)) for j in best.tolist() if near[i, j] >= CUT}
+    todo, best, of = np.ones(n, dtype=bool), np.full(n, -1.0), np.zeros(n, dtype=np.int64)
+    for _ in range(n):  # a spanning forest, nearest first
+        i = int(np.argmax(np.where(todo, best, -2.0)))
+        if best[i] >= CUT:
+            out.add((min(i, int(of[i])), max(i, int(of[i]))))
+        todo[i] = False
+        closer = near[i] > best
+        best, of = np.where(closer, near[i], best), np.where(closer, i, of)
+    return sorted(out)
+
+
+def _candidates(buckets: DataFrame) -> DataFrame:
+    """(u, v): tags u < v, from (key, tag, sig) rows of buckets of 2 to CROWD texts."""
+
+    def pick(batches):
+        for batch in batches:
             out = []
-            for tag, t in zip(pdf["tag"], pdf["text"], strict=True):
-                hashes = simhash.shingles(t, width)
-                if len(hashes):
-                    out.append((tag, simhash.folded(hashes), band_keys(np.unique(hashes)).view(np.int64)))
-            yield pd.DataFrame(out, columns=["tag", "fp", "keys"])
-
-    rows = written(texts.mapInPandas(band, "tag long, fp long, keys array<long>"), "bands")
-    names = rows.groupBy("tag").agg(F.min("fp").alias("fp"))
-    keyed = rows.select("tag", F.explode("keys").alias("key")).distinct()
-    crowded = keyed.groupBy("key").agg(F.min("tag").alias("a"), F.max("tag").alias("b")).where("a <> b").select("key")
-    live = written(keyed.join(crowded, "key"), "buckets")
-
-    def shingle(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"tag": pdf["tag"], "words": [np.unique(simhash.shingles(t, width)).view(np.int64) for t in pdf["text"]]})
-
-    asked = live.select("tag").distinct()
-    sets = written(texts.join(asked, "tag", "left_semi").dropDuplicates(["tag"]).mapInPandas(shingle, "tag long, words array<long>"), "shingles")
-    theirs = sets.select(F.col("tag").alias("to"), F.col("words").alias("there"))
-    out = docs.sparkSession.createDataFrame([], "u long, v long")
+            for members in batch.column("members"):
+                tags, sigs = (members.values.field(k) for k in (0, 1))
+                tags = tags.to_numpy()
+                signatures = np.frombuffer(b"".join(sigs.to_pylist()), dtype=np.uint8).reshape(-1, PLACES)
+                out += [(min(tags[i], tags[j]), max(tags[i], tags[j])) for i, j in chosen(signatures)]
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["u", "v"], dtype="int64"), preserve_index=False)
+
+    grouped = buckets.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("tag", "sig"))).alias("members"))
+    return grouped.select("members").mapInArrow(pick, "u long, v long")
+
+
+def _dealt(large: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """(candidates, smaller buckets) from (key, tag, sig) rows of large buckets."""
+    first = large.groupBy("key").agg(F.min(F.struct("tag", "sig")).alias("f")).select("key", F.col("f.tag").alias("to"), F.col("f.sig").alias("there"))
+
+    def rate(batches):
+        for batch in batches:
+            mine, theirs = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, PLACES) for c in ("sig", "there"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "tag", "sig", "to")), pa.array(_agreement(mine, theirs) >= SAME)], names=["key", "tag", "sig", "to", "same"])
+
+    rated = written(large.join(first, "key").mapInArrow(rate, "key long, tag long, sig binary, to long, same boolean"), "rated")
+    twins = rated.where("same and tag <> to").select(F.least("tag", "to").alias("u"), F.greatest("tag", "to").alias("v"))
+    rest = rated.where("not same or tag = to").select("key", "tag", "sig")
+    if level >= DEPTH:
+        block = F.floor(F.col("pos") / (CROWD // 2))
+        placed = running(rest, ["key"], ["sig", "tag"]).select("key", "tag", "sig", F.explode(F.array(block, block + 1)).alias("block"))
+        return twins, placed.select(F.xxhash64("key", "block").alias("key"), "tag", "sig")
+    places = np.random.default_rng(100 + level)
+    keys = [F.xxhash64("key", F.lit(j), *(F.substring("sig", int(p) + 1, 1) for p in places.choice(PLACES, ROWS, replace=False))) for j in range(DEALT)]
+    return twins, rest.select(F.explode(F.array(*keys)).alias("key"), "tag", "sig")
+
+
+def links(docs: DataFrame, rows: DataFrame, near: DataFrame, text_column: str, width: int, similar: float = SIMILAR) -> DataFrame:
+    """(u, v): hashes of texts whose shingles (A-Z lower-cased) are at least ``similar``; all texts without words are alike.
+
+    ``rows``: what ``banded`` gave for ``docs``; ``near``: more candidates (u, v). Both are written tables.
+    """
+    known = rows.groupBy("tag").agg(F.min("keys").alias("keys"))
+    keyed = known.select("tag", F.explode("keys").alias("key"))
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    live = written(keyed.join(crowded, "key").select("key", "tag", "n"), "buckets")
+
+    def read(batches):
+        for batch in batches:
+            sets, sigs = [None] * batch.num_rows, [None] * batch.num_rows
+            for row, s in _shingled(batch, width):
+                s = np.unique(s)
+                sets[row], sigs[row] = s.view(np.int64), signature(s)
+            yield pa.RecordBatch.from_arrays([batch.column("tag"), pa.array(sets, type=pa.list_(pa.int64())), pa.array(sigs, type=pa.binary())], names=["tag", "words", "sig"])
+
+    # copies are read again as often as they stand there, and one of each stays
+    texts = docs.select(*_texts(text_column)).join(live.select("tag").unionByName(near.select(F.explode(F.array("u", "v")).alias("tag"))).distinct(), "tag", "left_semi")
+    sets = written(texts.mapInArrow(read, "tag long, words array<long>, sig binary").groupBy("tag").agg(F.min("words").alias("words"), F.min("sig").alias("sig")), "shingles")
+    sigs = sets.select("tag", "sig")
+    pairs = live.where("n = 2").groupBy("key").agg(F.min("tag").alias("u"), F.max("tag").alias("v")).select("u", "v")
+    more = written(live.where("n > 2").join(sigs, "tag").select("key", "tag", "sig", "n"), "crowds")
+    level = 0
     while True:
-        centre = written(live.groupBy("key").agg(F.min("tag").alias("to"), F.max("tag").alias("last")).where("to <> last").select("key", "to"), "centres")
-        met = written(live.join(centre, "key").where("tag <> to"), "met")
-        if met.isEmpty():
-            return out
-        common = F.size(F.array_intersect("words", "there"))
-        near = common >= similar * (F.size("words") + F.size("there") - common)
-        checked = met.select("tag", "to").distinct().join(sets, "tag").join(theirs, "to").select("tag", "to", near.alias("near"))
-        checked = written(checked, "checked")
-        found = checked.where("near").join(names, "tag").select("to", F.col("fp").alias("u"))
-        out = out.unionByName(found.join(names.withColumnsRenamed({"tag": "to", "fp": "v"}), "to").select("u", "v").where("u <> v"))
-        live = written(met.join(checked.where("not near"), ["tag", "to"]).select("key", "tag"), "left")
+        pairs = pairs.unionByName(_candidates(more.where(F.col("n") <= CROWD)))
+        large = more.where(F.col("n") > CROWD)
+        if large.isEmpty():
+            break
+        twins, dealt = _dealt(large.select("key", "tag", "sig"), level)
+        dealt = written(dealt, "dealt")
+        sizes = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        more = written(dealt.join(sizes, "key"), "crowds")
+        pairs = pairs.unionByName(twins)
+        level += 1
+    pairs = written(pairs.unionByName(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
+    there = sets.select(F.col("tag").alias("v"), F.col("words").alias("there"))
+    common = F.size(F.array_intersect("words", "there"))
+    enough = common >= similar * (F.size("words") + F.size("there") - common)
+    return pairs.join(sets.select(F.col("tag").alias("u"), "words"), "u").join(there, "v").where(enough).select("u", "v")

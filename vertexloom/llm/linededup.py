@@ -24,112 +24,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vertexloom.llm import wordhash
+from vertexloom.llm.wordhash import between, prefixes
 from vertexloom.session import written
 
 LEAST = 50
 RUN = 20
-#: Bytes, words, and documents' bytes that are worked on at once.
-BYTES = 1 << 18
-WORDS = 1 << 17
-GROUP = 1 << 20
 #: The id that stands for a null one: it comes first.
 NO_ID = -(1 << 63)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_BASE = 0x9E3779B97F4A7C15
-_RANDOM = np.random.default_rng(31).integers(0, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BLANK = np.zeros(256, dtype=bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
 #: Bits of a line hash that rank it; the rest of the 64 hold its place.
 _RANK = ~np.uint64((1 << 20) - 1)
 
 
-def _powers(base: int) -> np.ndarray:
-    out = np.ones(1, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        while len(out) < max(BYTES, WORDS + LEAST):
-            out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
-    return out
-
-
-_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
-
-
-def _prefixes(values: np.ndarray) -> np.ndarray:
-    """Prefix hashes mod 2**64, one more than values."""
-    with np.errstate(over="ignore"):
-        return np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(values * _UP[: len(values)], dtype=np.uint64)])
-
-
-def _between(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the values from start to end, wherever they stand."""
-    with np.errstate(over="ignore"):
-        code = (p[end] - p[start]) * _DOWN[start]
-        code ^= code >> np.uint64(29)
-        code *= np.uint64(0xBF58476D1CE4E5B9)
-        code ^= code >> np.uint64(32)
-    return code
-
-
-def word_hashes(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, its first byte) of UTF-8 bytes; no word goes over a break."""
-    hashes, places, at = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], 0
-    while at < len(data):
-        block = data[at : at + BYTES]
-        inside = breaks[np.searchsorted(breaks, at, side="right") : np.searchsorted(breaks, at + len(block))] - at
-        blank = _BLANK[block]
-        if at + len(block) < len(data) and not blank[-1] and at + len(block) not in breaks[np.searchsorted(breaks, at + len(block)) :][:1]:
-            gaps = np.flatnonzero(blank[-4096:])
-            gap = len(block) - len(blank[-4096:]) + gaps[-1] + 1 if len(gaps) else np.flatnonzero(blank).max(initial=-1) + 1
-            cut = max(int(gap), int(inside.max(initial=0)))
-            if not cut:  # a word of BYTES bytes or more
-                end = at + BYTES
-                later = breaks[np.searchsorted(breaks, end) :][:1]
-                stop = int(later[0]) if len(later) else len(data)
-                while end < stop and not _BLANK[data[end]]:
-                    found = np.flatnonzero(_BLANK[data[end : min(stop, end + BYTES)]])
-                    end = end + int(found[0]) if len(found) else min(stop, end + BYTES)
-                hashes.append(np.array([xxhash.xxh64_intdigest(data[at:end].tobytes())], dtype=np.uint64))
-                places.append(np.array([at]))
-                at = end
-                continue
-            block, blank, inside = block[:cut], blank[:cut], inside[inside < cut]
-        first = ~blank
-        last = first.copy()
-        first[1:] &= blank[:-1]
-        last[:-1] &= blank[1:]
-        if len(inside):
-            first[inside] = ~blank[inside]
-            last[inside - 1] = ~blank[inside - 1]
-        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        if len(start) == 1 and end[0] - start[0] >= BYTES:
-            hashes.append(np.array([xxhash.xxh64_intdigest(block[start[0] : end[0]].tobytes())], dtype=np.uint64))
-        else:
-            hashes.append(_between(_prefixes(_RANDOM[block]), start, end))
-        places.append(start + at)
-        at += len(block)
-    return np.concatenate(hashes), np.concatenate(places)
-
-
-def _grouped(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, word hashes, words before each row and after the last) of some rows at a time."""
-    column = column.cast(pa.large_binary())
-    if not len(column):
-        return
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
-    at = 0
-    while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + GROUP, side="right")) - 1)
-        breaks = offsets[at:to] - offsets[at]
-        hashes, places = word_hashes(data[offsets[at] : offsets[to]], breaks[1:])
-        yield at, hashes, np.append(np.searchsorted(places, breaks), len(hashes))
-        at = to
-
-
 def _smallest(x: np.ndarray, size: int) -> np.ndarray:
     """Smallest of every ``size`` neighbours."""
     width = 1
@@ -142,21 +52,21 @@ def stretches(hashes: np.ndarray, bounds: np.ndarray, least: int, run: int) -> I
     """(fingerprint, hash of all words, first start, starts) of the stretches in documents' words; see step 1.
 
     Works on WORDS starts at a time; a stretch over that border counts as two, which changes no result."""
-    for at in range(0, len(hashes) - least + 1, WORDS):
-        some = hashes[at : at + WORDS + least - 1]
+    for at in range(0, len(hashes) - least + 1, wordhash.WORDS):
+        some = hashes[at : at + wordhash.WORDS + least - 1]
         n = len(some) - least + 1
         start = np.arange(n)
         end = bounds[np.searchsorted(bounds, start + at, side="right")] - at
         start = start[start + least <= end]
         if not len(start):
             continue
-        p = _prefixes(some)
+        p = prefixes(some)
         place = np.arange(len(some) - run + 1)
-        lines = _between(p, place, place + run)
+        lines = between(p, place, place + run)
         chosen = (_smallest((lines & _RANK) | place.astype(np.uint64), least - run + 1) & ~_RANK)[start].astype(np.int64)
         new = np.flatnonzero(np.r_[True, (chosen[1:] != chosen[:-1]) | (np.diff(start) != 1)])
         first, count = start[new], np.diff(np.append(new, len(start)))
-        yield lines[chosen[new]], _between(p, first, first + count - 1 + least), first + at, count
+        yield lines[chosen[new]], between(p, first, first + count - 1 + least), first + at, count
 
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -177,11 +87,11 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     def cut_up(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, tag = batch.column("doc").to_numpy(zero_copy_only=False), batch.column("tag").to_numpy(zero_copy_only=False)
-            for row, hashes, bounds in _grouped(batch.column("text")):
+            for row, hashes, bounds in wordhash.grouped(batch.column("text")):
                 for fp, ctx, start, count in stretches(hashes, bounds, least, run):
                     owner = np.searchsorted(bounds, start, side="right") - 1
                     with np.errstate(over="ignore"):  # within a document, all but the first of equal stretches
-                        once = fp * np.uint64(3) ^ ctx ^ owner.astype(np.uint64) * np.uint64(_BASE)
+                        once = fp * np.uint64(3) ^ ctx ^ owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                     again = np.ones(len(fp), dtype=bool)
                     again[np.unique(once, return_index=True)[1]] = False
                     columns = [fp.view(np.int64), ctx.view(np.int64), doc[row + owner], tag[row + owner], (start - bounds[owner]).astype(np.int32), count.astype(np.int32), again]
@@ -202,17 +112,17 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     def extend(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, tag, wanted = (batch.column(c) for c in ("doc", "tag", "asked"))
-            for row, hashes, bounds in _grouped(batch.column("text")):
+            for row, hashes, bounds in wordhash.grouped(batch.column("text")):
                 some = wanted.slice(row, len(bounds) - 1)
                 flat = some.flatten()
                 owner = np.repeat(np.arange(len(some)), some.value_lengths().to_numpy(zero_copy_only=False))
                 start, n = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
                 start, owner = np.repeat(start + bounds[owner], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), np.repeat(owner, n)
-                for at in range(0, len(hashes), WORDS):
-                    mine = (start >= at) & (start < at + WORDS)
+                for at in range(0, len(hashes), wordhash.WORDS):
+                    mine = (start >= at) & (start < at + wordhash.WORDS)
                     here, whose = start[mine] - at, owner[mine]
                     if len(here):
-                        codes = _between(_prefixes(hashes[at : at + WORDS + least]), here, here + least)
+                        codes = between(prefixes(hashes[at : at + wordhash.WORDS + least]), here, here + least)
                         columns = [codes.view(np.int64), doc.take(pa.array(row + whose)), tag.take(pa.array(row + whose)), (here + at - bounds[whose]).astype(np.int32)]
                         yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["code", "doc", "tag", "start"])
 

@@ -67,14 +67,15 @@ def folded(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH) -> DataFrame:
-    """(doc_id, fp): fp as a signed 64-bit integer. Null texts count as empty."""
+    """(doc_id, tag, fp): the text's hash, and its SimHash as a signed 64-bit integer. Null texts count as empty."""
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": np.array([fingerprint(t, width) for t in pdf["text"]], dtype="<u8").view("<i8")})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "tag": pdf["tag"], "fp": np.array([fingerprint(t, width) for t in pdf["text"]], dtype="<u8").view("<i8")})
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, fp long")
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    return rows.mapInPandas(run, "doc_id long, tag long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -120,33 +121,54 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, similar: float | None = None) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: the smallest doc_id reachable over links, itself included.
+    """(doc_id, fp, component_id, tag, component) for every row: component_id is the smallest doc_id reachable over links, itself
+    included, tag the text's hash, and component a name that is never null.
+
+    With ``similar``, texts link if their sets of shingles are at least so similar (Jaccard): near fingerprints are
+    candidates, MinHash gives more of them, and each is checked. Fingerprints then come from another hash of words.
 
     Null texts are empty; texts without words have fingerprint 0 and link like any other. Repeated rows give repeated rows.
     A null doc_id is kept; it counts for a component only where no other id is there (component_id is null then). Very long
     texts are read whole. An empty table gives an empty one.
     """
-    rows = written(fingerprints(docs, id_column, text_column, width), "fingerprints")
-    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    linked = links(fps.select("fp"))
-    if similar is not None:
-        linked = linked.unionByName(jaccard.links(docs, text_column, width, similar))
+    if similar is None:
+        node, rows = "fp", written(fingerprints(docs, id_column, text_column, width), "fingerprints")
+        linked = links(rows.select("fp").distinct())
+    else:
+        node, rows = "tag", written(jaccard.banded(docs, id_column, text_column, width), "bands")
+        told = rows.groupBy("fp").agg(F.min("tag").alias("tag"))
+        same = rows.select("fp", F.col("tag").alias("v")).distinct().join(told, "fp").select(F.col("tag").alias("u"), "v").where("u <> v")
+        near = links(told.select("fp")).join(told.withColumnsRenamed({"fp": "u", "tag": "a"}), "u").join(told.withColumnsRenamed({"fp": "v", "tag": "b"}), "v")
+        near = written(same.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v"))), "near")
+        linked = jaccard.links(docs, rows, near, text_column, width, similar)
     found = connected_components(linked)
-    rooted = fps.join(found, fps.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    best = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(best, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    nodes = rows.groupBy(node).agg(F.min("doc_id").alias("first"))
+    rooted = nodes.join(found, nodes[node] == found.node, "left").select(nodes[node], "first", F.coalesce("root", nodes[node]).alias("component"))
+    best = rooted.groupBy("component").agg(F.min("first").alias("component_id"))
+    return rows.join(rooted.join(best, "component").select(node, "component", "component_id"), node).select("doc_id", "fp", "component_id", "tag", "component")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The documents whose id is its component's smallest (one row of each group: of repeated rows with that id, one stays).
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:
+    """One document of each group of near-duplicates: of the smallest id in its component.
 
-    Rows with a null doc_id can't be told apart and stay.
+    Rows that share that id are told apart by their texts: equal ones are one, and of unlike ones that are near-duplicates the
+    one whose text has the smallest hash stays; unlike ones that aren't stay both. Rows with a null id count as larger
+    than any; a component of such alone keeps one. Null texts are empty, and all texts without words are one group. Columns are
+    kept, whatever they are named; an empty table gives an empty one.
     """
-    kept = near_duplicates(docs, **how).where("doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "_kept")
-    named = docs.where("doc_id is not null")
-    chosen = named.join(kept, named.doc_id == kept["_kept"], "left_semi")
-    return chosen.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    code = F.xxhash64(text)
+    rows = near_duplicates(docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text")), "doc_id", "text", **how)
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tag")).alias("b"))
+    kept = best.select(F.col("b.doc_id").alias("id"), F.col("b.tag").alias("tag"))
+    id_, tag = "_kept_id", "_kept_tag"
+    while {id_, tag} & {c.lower() for c in docs.columns}:
+        id_, tag = id_ + "_", tag + "_"
+    kept = kept.toDF(id_, tag)
+    chosen = docs.join(kept, F.col(id_column).cast("long").eqNullSafe(F.col(id_)) & (code == F.col(tag)), "left_semi")
+    # rows equal in id and text: one of them
+    key = chosen.withColumns({id_: F.col(id_column).cast("long"), tag: code})
+    return key.dropDuplicates([id_, tag]).select(*docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
