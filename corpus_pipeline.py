@@ -19,7 +19,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: a Jaccard similarity of 0.8 on shingles of five words, or near fingerprints."""
+    """One document of each group of near-duplicates: linked by a Jaccard similarity of 0.8 or more on shingles of five words."""
     return simhash.keep_one(docs, width=5, similar=0.8)
 
 
