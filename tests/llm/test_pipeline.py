@@ -59,3 +59,28 @@ def test_stages(spark, stages):
 def test_run(spark, stages):
     got = sorted((r["doc_id"], r["words"], round(r["position"], 9), r["text"]) for r in corpus_pipeline.run(spark, SF).collect())
     assert got == sorted((r["doc_id"], r["words"], round(r["position"], 9), r["text"]) for r in stages[-1][1].collect())
+
+
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, position int, words string, _doc int, _tag int, _spans int, _key int, _kept_id int, tag int, fp string, label int"
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_odd_rows(spark, empty):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, empty tables, and columns with clashing names."""
+    real = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(40).collect()]
+    extra = (1, "w", 2, 3, 4, 5, 6, 7, "f", 8)
+    rows = [(i, t, "en", f"src{i % 3}", len(t), *extra) for i, t in enumerate(real)]
+    rows += [(None, real[0], None, None, None, *[None] * 10), (50, None, "en", "src1", 0, *extra), (51, "", "en", "src1", 0, *extra), (52, " \n\t", None, None, 3, *extra)]
+    rows += [(3, real[3], "en", "src0", len(real[3]), *extra)] * 2 + [(3, real[5], "en", "src0", 1, *extra), (None, None, None, None, None, *[None] * 10), (60, " ".join(real) * 20, "en", "src2", 9, *extra)]
+    docs = spark.createDataFrame([] if empty else rows, EXTRA)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        kept = [tuple(r) for r in out.collect()]
+        columns = docs.columns if name != "mix" else [*docs.columns, "words_", "position_"]
+        assert out.columns == columns, name
+        if empty:
+            assert not kept
+        elif name != "line_dedup":
+            assert kept and {r[:2] for r in kept} <= {r[:2] for r in rows}, name
+        if name in ("line_dedup", "decontamination") and not empty:
+            assert {50, 51, 52} <= {r[0] for r in kept} and (None, None) in {r[:2] for r in kept}

@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vertexloom.llm.columns import free_names
 from vertexloom.session import written
 
 PASSAGE = 40
@@ -328,11 +329,16 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents that hold no benchmark item, with their columns."""
-    bad = written(contaminations(docs, benchmark, **how).select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).distinct(), "contaminated")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.hash(text) == F.col("_tag")), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:
+    """The documents that hold no benchmark item, with their columns, whatever those are named.
+
+    Null and empty texts hold none. Rows with a null id and rows that share an id are told apart by their texts' hashes; rows
+    equal in both go or stay together. An empty table gives an empty one; an empty benchmark leaves all.
+    """
+    doc, tag = free_names(docs.columns, "_doc", "_tag")
+    bad = written(contaminations(docs, benchmark, id_column, text_column, **how).select(F.col("doc").alias(doc), F.col("tag").alias(tag)).distinct(), "contaminated")
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    return docs.join(bad, F.col(id_column).cast("long").eqNullSafe(F.col(doc)) & (F.hash(text) == F.col(tag)), "left_anti")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.llm import wordhash
+from vertexloom.llm.columns import free_names
 from vertexloom.llm.wordhash import between, prefixes
 from vertexloom.session import written
 
@@ -159,17 +160,6 @@ def cut(text: str, spans) -> str:
     return "".join([*out, text[done:]]).rstrip() if out else text
 
 
-def _free(columns: list[str], *names: str) -> list[str]:
-    """Names that no column has, whatever the case."""
-    taken, out = {c.lower() for c in columns}, []
-    for n in names:
-        while n.lower() in taken:
-            n += "_"
-        taken.add(n.lower())
-        out.append(n)
-    return out
-
-
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST) -> DataFrame:
     """The documents without their repeats of what stood before; documents of which nothing is left are dropped.
 
@@ -177,7 +167,7 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     repeats come through as they are, null and empty texts and null ids among them. Rows equal in id and text are cut alike.
     An empty table gives an empty one.
     """
-    doc, tag, spans = _free(docs.columns, "_doc", "_tag", "_spans")
+    doc, tag, spans = free_names(docs.columns, "_doc", "_tag", "_spans")
     found = repeats(docs, id_column, text_column, least).toDF(doc, tag, spans)
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     joined = docs.join(found, (F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)) == F.col(doc)) & (F.hash(text) == F.col(tag)), "left")

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vertexloom.llm import jaccard
+from vertexloom.llm.columns import free_names
 from vertexloom.llm.components import connected_components
 from vertexloom.session import written
 
@@ -161,9 +162,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     rows = near_duplicates(docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text")), "doc_id", "text", **how)
     best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tag")).alias("b"))
     kept = best.select(F.col("b.doc_id").alias("id"), F.col("b.tag").alias("tag"))
-    id_, tag = "_kept_id", "_kept_tag"
-    while {id_, tag} & {c.lower() for c in docs.columns}:
-        id_, tag = id_ + "_", tag + "_"
+    id_, tag = free_names(docs.columns, "_kept_id", "_kept_tag")
     kept = kept.toDF(id_, tag)
     chosen = docs.join(kept, F.col(id_column).cast("long").eqNullSafe(F.col(id_)) & (code == F.col(tag)), "left_semi")
     # rows equal in id and text: one of them
