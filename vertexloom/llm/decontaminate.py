@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.llm.columns import free_names
+from vertexloom.llm.batches import short_batches
 from vertexloom.session import written
 
 PASSAGE = 40
@@ -306,6 +307,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_
     are one. Empty tables give an empty one.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_column).cast("long").alias("doc"), F.hash(text).alias("tag"), text.alias("text"))
     out = spark.createDataFrame([], SCHEMA)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from vertexloom.llm import wordhash
 from vertexloom.llm.columns import free_names
 from vertexloom.llm.wordhash import between, prefixes
+from vertexloom.llm.batches import short_batches
 from vertexloom.session import written
 
 LEAST = 50
@@ -83,6 +84,7 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     are one document. Null texts are empty, and texts under ``least`` words repeat nothing. Texts of any length are
     read whole, in blocks. An empty table gives an empty one. ``run`` <= ``least`` sets the cost, not the result.
     """
+    short_batches(docs.sparkSession)
     keyed = _keyed(docs, id_column, text_column)
 
     def cut_up(batches) -> Iterator[pa.RecordBatch]:

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vertexloom.llm.batches import short_batches
+
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("number", "ssn", "iban", "secret", "spelled", "address")
 KINDS = BASE + ADDED
@@ -278,6 +280,7 @@ def find(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     Null texts are empty and have no spans; null ids and repeated rows are kept; an empty table gives an empty one.
     """
     model = fitted()
+    short_batches(docs.sparkSession)
 
     def run(batches):
         for pdf in batches:
@@ -291,6 +294,7 @@ def find(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 def redact(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets; other columns are kept."""
     model = fitted()
+    short_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series) -> pd.Series:

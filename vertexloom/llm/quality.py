@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vertexloom.llm.batches import short_batches
 from vertexloom.llm.labelled import remainder, sample
 
 SAMPLE = 6_000
@@ -205,6 +206,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": model.scores([t or "" for t in pdf["text"]])})
 
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     return rows.mapInPandas(run, "doc_id long, score double")
 
@@ -221,6 +223,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
     def rate(texts: pd.Series) -> pd.Series:
         return pd.Series(model.scores([t or "" for t in texts]))
 
+    short_batches(docs.sparkSession)
     words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     return docs.where(words).where(rate(F.col("text").cast("string")) >= threshold)
 

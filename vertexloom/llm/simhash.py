@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from vertexloom.llm import jaccard
 from vertexloom.llm.columns import free_names
 from vertexloom.llm.components import connected_components
+from vertexloom.llm.batches import short_batches
 from vertexloom.session import written
 
 RADIUS = 3
@@ -132,6 +133,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     A null doc_id is kept; it counts for a component only where no other id is there (component_id is null then). Very long
     texts are read whole. An empty table gives an empty one.
     """
+    short_batches(docs.sparkSession)
     if similar is None:
         node, rows = "fp", written(fingerprints(docs, id_column, text_column, width), "fingerprints")
         linked = links(rows.select("fp").distinct())

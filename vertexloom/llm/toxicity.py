@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vertexloom.llm.batches import short_batches
 from vertexloom.llm.labelled import remainder, sample
 
 SAMPLE = 6_000
@@ -306,6 +307,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": model.scores([t or "" for t in pdf["text"]])})
 
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     return rows.mapInPandas(run, "doc_id long, score double")
 
