@@ -50,7 +50,7 @@ def test_random_against_model_and_hubs(spark):
         front = _step(front, edges, dist)
     g = graph(spark, 30, edges)
     want = [dist.get(i) for i in range(30)]
-    for how in ({}, {"partitions": 3}, {"hub_degree": 5, "partitions": 2}, {"join": "broadcast"}, {"join": "shuffle"}):
+    for how in ({}, {"partitions": 3}, {"hub_degree": 5, "partitions": 2}, {"hub_degree": 1, "partitions": 3, "hub_bytes": 0}, {"join": "broadcast"}, {"join": "shuffle"}):
         assert column(alg.shortest_paths(g, **how), "dist") == want
 
 

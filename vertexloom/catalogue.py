@@ -87,7 +87,19 @@ def _file_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("partition_file", _file_assigned, _with("hop", f"select id, (id % {PARTS})::int master, ((id // 10) % 4)::int mirror from vt"))
-_add("partition_k_way", _on("sparse", lambda g: partition.k_way(g, PARTS).groupBy("part").agg(F.count("*").alias("vertices"))))
+
+
+def _k_way(g: Graph) -> DataFrame:
+    """Whether every vertex has a part, the largest part keeps the slack, and no more edges are cut than by id modulo."""
+    parts = partition.k_way(g, PARTS)
+    sizes = parts.where(f"part between 0 and {PARTS - 1}").groupBy("part").agg(F.count("*").alias("n")).agg(F.sum("n").alias("placed"), F.max("n").alias("most"))
+    cut = topology.cut_edges(g, parts.select("id", F.col("part").alias("master"), F.col("part").alias("mirror")))
+    naive = topology.cut_edges(g, _assigned(g)).withColumnRenamed("cut_edges", "naive")
+    one = sizes.crossJoin(cut).crossJoin(naive).crossJoin(g.vertices.agg(F.count("*").alias("v"), F.countDistinct("id").alias("ids")))
+    return one.select(F.expr("placed = v and ids = v").alias("all_placed"), (F.col("most") <= F.greatest(F.lit(1), F.floor(F.col("v") * 1.1 / PARTS))).alias("within_slack"), F.expr("cut_edges <= naive").alias("no_worse_than_naive"), F.col("v").cast("long").alias("vertices"))
+
+
+_add("partition_k_way", _on("sparse", _k_way), _with("sparse", "select true all_placed, true within_slack, true no_worse_than_naive, count(*) vertices from vt"))
 _add("local_ids", _on("hop", lambda g: topology.local_ids(_assigned(g))), _with("hop", "select id, master part, row_number() over (partition by master order by id) - 1 lid from asg"))
 _add(
     "csr_offsets",
@@ -105,6 +117,9 @@ _SLOTS = "sl as materialized (select master, mirror, 0 x, id from asg union all
 _add("translation_sizes", _on("hop", lambda g: topology.translation_sizes(g, _assigned(g))), _with("hop", "select master, mirror, count(*) slots from sl group by 1, 2", _SLOTS))
 _add("translation_table", _on("hop", lambda g: topology.translation_table(g, _assigned(g))), _with("hop", "select master, mirror, row_number() over (partition by master, mirror order by x, id) - 1 slot, id from sl", _SLOTS))
 _add("local_edges", _on("hop", lambda g: topology.local_edges(g, _assigned(g))), _with("hop", "select sr mirror, s src, d dst, sr <> dr dst_is_ghost from pe"))
+_GHOSTS = """sl as materialized (select mirror, 0 ghost, id from asg union all select sr, 1, d from (select distinct sr, d from pe where sr <> dr)),
+  lids as materialized (select mirror, ghost, id, row_number() over (partition by mirror order by ghost, id) - 1 lid from sl)"""
+_add("local_csr", _on("hop", lambda g: topology.local_csr(g, _assigned(g))), _with("hop", "select sr mirror, a.lid src_lid, b.lid dst_lid, b.ghost = 1 dst_is_ghost from pe join lids a on a.mirror = sr and a.id = s and a.ghost = 0 join lids b on b.mirror = sr and b.id = d", _GHOSTS))
 _add("vertex_lookup", _on("hop", lambda g: topology.lookup(g.vertices, _assigned(g), g)), _with("hop", "select id, master, mirror, g degree from asg join deg using (id)"))
 
 # --- PageRank ---------------------------------------------------------------------------------------------------------
@@ -135,6 +150,21 @@ _add("pagerank_residuals_10", _ranks("hop", 10, lambda s: s.select("id", _near("
 _add("pagerank_top20", _ranks("hop", 10, lambda s: verify.top_ranks(s.select("id", _near("rank").alias("rank")))), _with("hop", f"select v id, {_R} rank from fin order by 2 desc, 1 limit 20", *_pr(10)))
 _add("pagerank_top20_distinct", _ranks("trade", 1000, lambda s: verify.top_ranks(s.select("id", _near("rank").alias("rank")), one_per_rank=True)), _with("trade", f"select max(v) id, {_R} rank from fin group by 2 order by 2 desc, 1 limit 20", *_pr(1000)))
 
+_F32 = (
+    "st0 as materialized (select id v, g, (case when g > 0 then 0.15::double else 0::double end)::float rank, 0::float res, (case when g > 0 then 0.85::double * 0.15::double / g else 0::double end)::float delta, g > 0 fr, 0 it from deg)",
+    """st as (select * from st0 union all
+      select v, g, case when f then rank + r else rank end, case when f then 0::float else r end, (case when f and g > 0 then 0.85::double * r / g else 0::double end)::float, f, it + 1
+      from (select st.v, st.g, st.rank, st.it, (st.res + coalesce(m.m, 0::double))::float r, (st.res + coalesce(m.m, 0::double))::float::double > 1e-6::double f
+            from st left join (select e.d, sum(p.delta::double) m from st p join e on p.v = e.s where p.fr group by e.d) m on m.d = st.v
+            where exists (select 1 from st x where x.fr) and st.it < 1000)),
+    fin as materialized (select * from st qualify it = max(it) over ())""",
+)
+_add(
+    "pagerank_single_precision",
+    lambda spark, sf_dir: alg.pagerank(GRAPHS["trade"](spark, sf_dir), precision="float").state.select("id", F.round(F.col("rank").cast("double") + NUDGE, 5).alias("rank")),
+    _with("trade", f"select v id, round(rank::double + {NUDGE}, 5) rank from fin", *_F32),
+)
+
 # --- distances --------------------------------------------------------------------------------------------------------
 _DIST = """b(v, dist) using key (v) as (select 0::bigint, 0::bigint union (select e.d, min(b.dist + 1) from b join e on b.v = e.s
     left join recurring.b r on r.v = e.d where r.dist is null or r.dist > b.dist + 1 group by e.d)),
@@ -151,6 +181,8 @@ def _dist(graph: str, make: Callable[[Graph, DataFrame], DataFrame]) -> Query:
 
 for _g in ("hop", "sparse"):
     _add(f"sssp_{_g}", _dist(_g, lambda g, s: s.select("id", "dist")), _with(_g, "select id, dist from ds", _DIST))
+for _path in ("broadcast", "shuffle"):  # both ways of a round's traversal
+    _add(f"sssp_{_path}_path", (lambda how: lambda spark, sf_dir: alg.shortest_paths(GRAPHS["hop"](spark, sf_dir), join=how).state.select("id", "dist"))(_path), _with("hop", "select id, dist from ds", _DIST))
 _add("sssp_level_histogram", _dist("hop", lambda g, s: s.where("dist is not null").groupBy("dist").agg(F.count("*").alias("vertices"))), _with("hop", "select dist, count(*) vertices from ds where dist is not null group by 1", _DIST))
 _add("sssp_stats", _dist("hop", lambda g, s: verify.distance_summary(s)), _with("hop", "select count(dist) visited, max(dist) max_dist from ds", _DIST))
 _add("sssp_verify", _dist("hop", lambda g, s: verify.distance_errors(g.edges, s)), _with("hop", "select count(*) filter (where b.dist is null or b.dist > a.dist + 1) errors from e join ds a on a.id = s join ds b on b.id = d where a.dist is not null", _DIST))
@@ -200,17 +232,28 @@ _add(
 
 def _volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = GRAPHS["hop"](spark, sf_dir)
-    return metrics.bytes_moved(alg.shortest_paths(g).stats_frame(), g.vertices.count())
+    return metrics.bytes_moved(alg.shortest_paths(g).stats_frame(), g.vertices.count()).select("iteration", "active", "messages", "bytes")
+
+
+def _run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = GRAPHS["hop"](spark, sf_dir)
+    return metrics.run_stats(alg.shortest_paths(g).stats_frame(), g.vertices.count(), topology.replication_factor(g, _assigned(g)))
 
 
-_add("bytes_moved_model", _volume, _with("hop", "select dist iteration, count(*) active, (((select count(*) from vt) + 63) // 64 * 8 + count(*) * 8)::bigint bytes from ds where dist is not null group by 1", _DIST))
+_ROUNDS = "rd as materialized (select dist, count(*) active, sum(g)::bigint messages, ((select count(*) from vt) + 63) // 64 * 8 + count(*) * 8 bytes from ds join deg using (id) where dist is not null group by 1)"
+_add(
+    "run_stats",
+    _run_stats,
+    _with("hop", "select count(*) iterations, sum(messages)::bigint messages, sum(bytes)::bigint bytes, (select ((select count(*) from pe where sr <> dr) + count(*))::double / count(*) from vt) replication_factor from rd", _DIST, _ROUNDS),
+)
+_add("bytes_moved_model", _volume, _with("hop", "select dist iteration, active, messages, bytes::bigint bytes from rd", _DIST, _ROUNDS))
 
 
 def _offload(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = GRAPHS["sparse"](spark, sf_dir)
     asg = _assigned(g)
     state = alg.shortest_paths(g).state.select("id", F.col("dist").isNotNull().alias("active"))
-    return placement.offload_decision(state, topology.coverage(g, asg), g.edges, asg.select("id", "mirror"), PARTS)
+    return placement.offload_decision(state, topology.coverage(g, asg), asg.select("id", "mirror"))
 
 
 _add(
@@ -218,12 +261,12 @@ _add(
     _offload,
     _with(
         "sparse",
-        """select f frontier, t threshold, u uncovered, case when f = 0 or f > t or u > 0 or most < mean then 'offload' else 'local' end decision from (
+        """select f frontier, t threshold, u uncovered, most, mean::bigint mean, case when f = 0 or f > t or u > 0 or most < mean then 'offload' else 'local' end decision from (
           select (select count(*) from fr) f, ((select count(*) from vt) // 20)::bigint t, (select count(*) from fr join cov using (id) where not covered) u,
-          (select coalesce(max(n), 0) from tn) most, (select coalesce(sum(n), 0) // 3 from tn) mean)""",
+          (select coalesce(max(n), 0) from tn) most, (select coalesce(sum(n) // nullif(count(*), 0), 0) from tn) mean)""",
         _DIST, _COVER,
         "fr as materialized (select id from ds where dist is not null)",
-        "tn as materialized (select mirror, count(*) n from (select distinct d from e join fr on fr.id = s) join asg on id = d group by 1)",
+        "tn as materialized (select mirror, count(*) n from fr join asg using (id) group by 1)",
     ),
 )
 
@@ -240,25 +283,52 @@ _add("frontier_cost", _cost, _with("sparse", "select count(*) frontier, coalesce
 
 
 def _log(spark: SparkSession, sf_dir: str, shift: int) -> DataFrame:
-    """A synthetic run log from the orders table: a marker every 50 lines, then vertex lines."""
+    """A drawn run log from the orders table: a marker every 50 lines, then vertex lines; the first lines stand before any marker."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice")
-    line = F.concat(F.lit("Vertex "), F.col("o_custkey"), F.lit(": "), F.floor(F.col("o_totalprice")).cast("long"), F.lit(".5/0.0"), F.pmod(F.col("o_orderkey") * shift, F.lit(7)))
+    line = F.concat(F.lit("Vertex "), F.col("o_custkey"), F.lit(": "), F.floor(F.col("o_totalprice")).cast("long"), F.lit(".5/0.02"), F.pmod(F.col("o_orderkey") * shift, F.lit(7)), F.lit("0"))
     mark = F.concat(F.lit("[Proc 0] Iteration: "), F.floor(F.col("o_orderkey") / 50).cast("long"), F.lit(", WCC: 1"))
-    return o.select((F.col("o_orderkey") + 1).alias("line_no"), F.when(F.col("o_orderkey") % 50 == 0, mark).otherwise(line).alias("line"))
+    return o.select((F.col("o_orderkey") + 1).alias("line_no"), F.when(F.col("o_orderkey") % 50 == 25, mark).otherwise(line).alias("line"))
+
+
+def _other_log(spark: SparkSession, sf_dir: str, shift: int) -> DataFrame:
+    """The same run as the other system logs it: any blanks, and a clock before a line; the log ends 30 keys early, and every
+    eleventh line is of another vertex."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice")
+    last = o.agg((F.max("o_orderkey") - 30).alias("last"))
+    vertex = F.col("o_custkey") + (F.col("o_orderkey") % 11 == 0).cast("int")
+    line = F.concat(F.lit("12:00\t"), vertex, F.lit(" \t"), F.floor(F.col("o_totalprice")).cast("long"), F.lit(".5  0.02"), F.pmod(F.col("o_orderkey") * shift, F.lit(7)), F.lit("0 "))
+    mark = F.concat(F.lit("12:00 [Leader] Iteration "), F.floor(F.col("o_orderkey") / 50).cast("long"), F.lit(" complete"))
+    return o.join(F.broadcast(last), F.col("o_orderkey") <= F.col("last")).select((F.col("o_orderkey") + 1).alias("line_no"), F.when(F.col("o_orderkey") % 50 == 25, mark).otherwise(line).alias("line"))
 
 
-def _log_sql(shift: int) -> str:
-    return f"""select o_orderkey + 1 line_no, (o_orderkey // 50)::bigint as iteration, o_custkey::bigint vertex, round(floor(o_totalprice) + 0.5, 4)::double rank, round(((o_orderkey * {shift}) % 7) / 100.0, 4)::double residual
-      from orders where o_orderkey % 50 <> 0 and o_orderkey >= (select min(o_orderkey) from orders where o_orderkey % 50 = 0)"""
+def _read_other(spark: SparkSession, sf_dir: str, shift: int) -> DataFrame:
+    return logs.extract(_other_log(spark, sf_dir, shift), logs.OTHER_MARK, logs.OTHER_LINE)
 
 
-_add("log_extract", lambda spark, sf_dir: logs.extract(_log(spark, sf_dir, 1)).where("iteration is not null").select("line_no", "iteration", "vertex", "rank", "residual"))
+_COLUMNS = ("line_no", "iteration", "vertex", "rank", "residual")
+_add("log_extract", lambda spark, sf_dir: logs.extract(_log(spark, sf_dir, 1)).select(*_COLUMNS))
+_add("log_extract_other", lambda spark, sf_dir: _read_other(spark, sf_dir, 2).select(*_COLUMNS))
 _add("log_diff", lambda spark, sf_dir: logs.compare(logs.extract(_log(spark, sf_dir, 1)), logs.extract(_log(spark, sf_dir, 2))))
-_RAW = """lg as materialized (select o_orderkey + 1 line_no, o_orderkey k, o_custkey c, o_totalprice p from orders),
-  fl as materialized (select *, last_value(case when k % 50 = 0 then k // 50 end ignore nulls) over (order by line_no) i from lg)"""
-ORACLE["log_extract"] = f"with {_RAW} select line_no, i as iteration, c vertex, round(floor(p) + 0.5, 4)::double rank, (k % 7 / 10.0)::double residual from fl where k % 50 <> 0 and i is not null".replace("k % 7 / 10.0", "('0.0' || (k % 7))::double")
-ORACLE["log_diff"] = f"""with {_RAW}, x as (select i, row_number() over (partition by i order by line_no) pl, c, ('0.0' || (k % 7))::double r1, ('0.0' || (k * 2 % 7))::double r2 from fl where k % 50 <> 0 and i is not null)
-  select i as iteration, c vertex, r1, r2, abs(r1 - r2) diff, 'diff' status from x where abs(r1 - r2) > 0.001"""
+_add("log_diff_unequal", lambda spark, sf_dir: logs.compare(logs.extract(_log(spark, sf_dir, 1)), _read_other(spark, sf_dir, 2)))
+_RAW = """lg as materialized (select o_orderkey + 1 line_no, o_orderkey k, o_custkey c, floor(o_totalprice) p, (select max(o_orderkey) - 30 from orders) z from orders),
+  fl as materialized (select *, coalesce(last_value(case when k % 50 = 25 then k // 50 end ignore nulls) over (order by line_no), 0) i from lg),
+  la as materialized (select line_no, i, c v, p, (k % 7) m, row_number() over (order by line_no) pl from fl where k % 50 <> 25),
+  lb as materialized (select line_no, i, c v, p, (k * 2 % 7) m, row_number() over (order by line_no) pl from fl where k % 50 <> 25),
+  lo as materialized (select line_no, i, c + (k % 11 = 0)::int v, p, (k * 2 % 7) m, row_number() over (order by line_no) pl from fl where k % 50 <> 25 and k <= z)"""
+
+
+def _read_sql(log: str) -> str:
+    return f"with {_RAW} select line_no, i as iteration, v::bigint vertex, round(p + 0.5, 4)::double rank, ('0.02' || m || '0')::double residual from {log}"
+
+
+def _diff_sql(a: str, b: str) -> str:
+    return f"""with {_RAW}, x as (select a.i i1, b.i i2, a.v v1, b.v v2, a.m m1, b.m m2, a.pl p1, b.pl p2, coalesce(a.i = b.i and a.v = b.v, false) same from {a} a full join {b} b on a.pl = b.pl)
+      select case when p1 is null then i2 else i1 end as iteration, (case when p1 is null then v2 else v1 end)::bigint vertex, ('0.02' || m1 || '0')::double r1, ('0.02' || m2 || '0')::double r2,
+        case when same then round(abs(m1 - m2) / 1000.0, 4)::double end diff, case when same then 'diff' else 'mismatch' end status from x where not same or abs(m1 - m2) > 1"""
+
+
+ORACLE["log_extract"], ORACLE["log_extract_other"] = _read_sql("la"), _read_sql("lo")
+ORACLE["log_diff"], ORACLE["log_diff_unequal"] = _diff_sql("la", "lb"), _diff_sql("la", "lo")
 
 
 # --- sources and sinks ------------------------------------------------------------------------------------------------

@@ -75,6 +75,17 @@ def local_edges(graph: Graph, assignment: DataFrame) -> DataFrame:
     return placed_edges(graph, assignment).select(F.col("src_mirror").alias("mirror"), "src", "dst", (F.col("src_mirror") != F.col("dst_mirror")).alias("dst_is_ghost"))
 
 
+def local_csr(graph: Graph, assignment: DataFrame) -> DataFrame:
+    """(mirror, src_lid, dst_lid, dst_is_ghost): each mirror's edges in local ids: its own vertices by id from 0, then its ghosts,
+    the destinations homed elsewhere, by id."""
+    own = assignment.select("mirror", F.lit(0).alias("ghost"), "id")
+    slots = own.unionByName(cross_mirrors(graph, assignment).select("mirror", F.lit(1).alias("ghost"), "id"))
+    lids = running(slots, ["mirror"], ["ghost", "id"]).select("mirror", "id", "ghost", F.col("pos").alias("lid"))
+    src = lids.where("ghost = 0").select(F.col("id").alias("src"), F.col("mirror"), F.col("lid").alias("src_lid"))
+    dst = lids.select(F.col("id").alias("dst"), "mirror", F.col("lid").alias("dst_lid"), (F.col("ghost") == 1).alias("dst_is_ghost"))
+    return graph.edges.select("src", "dst").join(src, "src").join(dst, ["mirror", "dst"]).select("mirror", "src_lid", "dst_lid", "dst_is_ghost")
+
+
 def lookup(vertices: DataFrame, assignment: DataFrame, graph: Graph) -> DataFrame:
     """(id, master, mirror, degree) of the asked vertices."""
     return vertices.select("id").join(assignment, "id").join(graph.out_degrees(), "id")

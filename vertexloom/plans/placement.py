@@ -31,21 +31,18 @@ def frontier_cost(state: DataFrame, degrees: DataFrame) -> DataFrame:
     return hit.agg(F.count("*").alias("frontier"), F.coalesce(F.sum("degree"), F.lit(0)).cast("long").alias("out_edges")).withColumn("cost", F.col("frontier") + F.col("out_edges"))
 
 
-def offload_decision(state: DataFrame, coverage: DataFrame, edges: DataFrame, mirrors: DataFrame, n_mirrors: int) -> DataFrame:
-    """One row: frontier, threshold (V/20), uncovered, touched maximum and mean per mirror, decision.
+def offload_decision(state: DataFrame, coverage: DataFrame, mirrors: DataFrame) -> DataFrame:
+    """One row: frontier, threshold (V/20), uncovered, most and mean frontier vertices of the mirrors that hold any, decision.
 
     Traversal stays next to the edges ('offload') if the frontier is empty or above the threshold, if a frontier vertex
-    has an out-neighbour homed elsewhere, or if the most touched mirror is below the integer mean over mirrors (which
-    can only be when nothing is touched; kept because it is part of the rule). Otherwise 'local'.
+    has an out-neighbour homed elsewhere, or if the fullest mirror is below the integer mean of those touched (which
+    can't be; kept because it is part of the rule). Otherwise 'local'.
     """
     active = state.where("active").select("id")
     sizes = state.agg(F.count("*").alias("v"), F.count_if("active").alias("frontier"))
     bad = active.join(coverage, "id").agg(F.count_if(~F.col("covered")).alias("uncovered"))
-    touched = (
-        active.join(edges, active.id == edges.src).select("dst").distinct()
-        .join(mirrors, F.col("dst") == mirrors.id).groupBy("mirror").agg(F.count("*").alias("n"))
-        .agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.floor(F.coalesce(F.sum("n"), F.lit(0)) / n_mirrors).cast("long").alias("mean"))
-    )
-    one = sizes.crossJoin(bad).crossJoin(touched).withColumn("threshold", F.floor(F.col("v") / 20).cast("long"))
+    touched = active.join(mirrors, "id").groupBy("mirror").agg(F.count("*").alias("n"))
+    spread = touched.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.coalesce(F.floor(F.sum("n") / F.nullif(F.count("*"), F.lit(0))), F.lit(0)).cast("long").alias("mean"))
+    one = sizes.crossJoin(bad).crossJoin(spread).withColumn("threshold", F.floor(F.col("v") / 20).cast("long"))
     offload = (F.col("frontier") == 0) | (F.col("frontier") > F.col("threshold")) | (F.col("uncovered") > 0) | (F.col("most") < F.col("mean"))
-    return one.select("frontier", "threshold", "uncovered", F.when(offload, "offload").otherwise("local").alias("decision"))
+    return one.select("frontier", "threshold", "uncovered", "most", "mean", F.when(offload, "offload").otherwise("local").alias("decision"))

@@ -9,8 +9,10 @@ Only pre-aggregated messages cross the network. The count of active rows comes f
 checkpointed, so the test for convergence costs no job.
 
 Out-edges of hubs (more than ``hub_degree`` of them) are kept apart and spread by both ends, so that a vertex with a third
-of all edges isn't one task; the hubs' states are broadcast to them, which is bounded: there are at most
-edges / hub_degree hubs, and that count is checked.
+of all edges isn't one task. The hubs' states are broadcast to them if, counted, they fit; else each hub's state goes to as many
+salts as its edges are dealt to, by shuffle.
+
+A round's checkpoint replaces the one before, which is deleted: storage holds two states, however many rounds there are.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.graph import Graph
 from vertexloom.plans.placement import BROADCAST_BYTES, ROW_BYTES, choose_join
-from vertexloom.session import cut_lineage, settings
+from vertexloom.session import cut_lineage, drop_checkpoint, settings
 
 MAX_ROUNDS = 1000
 EDGES_PER_PARTITION = 500_000
@@ -57,7 +59,7 @@ class Result:
 
     def stats_frame(self) -> DataFrame:
         return self.state.sparkSession.createDataFrame(
-            [(s["iteration"], s["active"], s["strategy"]) for s in self.stats], "iteration long, active long, strategy string"
+            [(s["iteration"], s["active"], s["messages"], s["strategy"]) for s in self.stats], "iteration long, active long, messages long, strategy string"
         )
 
 
@@ -65,18 +67,19 @@ COMBINE = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
 def run_vertex_program(
-    graph: Graph, program: VertexProgram, max_iter: int = MAX_ROUNDS, partitions: int | None = None, hub_degree: int | None = None, join: str = "auto"
+    graph: Graph, program: VertexProgram, max_iter: int = MAX_ROUNDS, partitions: int | None = None, hub_degree: int | None = None, join: str = "auto", hub_bytes: int = BROADCAST_BYTES
 ) -> Result:
     """Runs rounds until no vertex is active or ``max_iter`` rounds are done.
 
     ``partitions``: of state and edges; by default one per EDGES_PER_PARTITION edges.
     ``hub_degree``: out-degree from which a vertex's edges are spread; by default four partitions' worth of edges.
+    ``hub_bytes``: up to this size the hubs' states are broadcast.
     ``join``: 'auto' (by the frontier's counted size), 'broadcast' (still size-checked) or 'shuffle'.
     """
     spark = graph.edges.sparkSession
     names = list(program.init)
     with settings(spark, spark__sql__adaptive__enabled="false"):
-        degrees = graph.out_degrees()
+        degrees = cut_lineage(graph.out_degrees())
         sizes = degrees.agg(F.count("*").alias("v"), F.sum("degree").alias("e"), F.max("degree").alias("most")).first()
         n_v, n_e, most = sizes["v"], sizes["e"] or 0, sizes["most"] or 0
         n = partitions or max(1, min(MAX_PARTITIONS, math.ceil(max(n_v, n_e) / EDGES_PER_PARTITION)))
@@ -85,21 +88,27 @@ def run_vertex_program(
             carried = ["dst", *(["weight"] if "weight" in graph.edges.columns else [])]
             hubs = degrees.where(F.col("degree") > hub).select(F.col("id").alias("src")) if most > hub else None
             n_hubs = hubs.count() if hubs is not None else 0
-            if n_hubs * ROW_BYTES > BROADCAST_BYTES:
-                raise ValueError(f"{n_hubs} hubs can't be broadcast; raise hub_degree")
+            few = n_hubs * ROW_BYTES <= hub_bytes
+            salts = 1 if few else max(2, min(n, math.ceil(most / EDGES_PER_PARTITION)))
             plain = graph.edges.select("src", *carried)
             spread = None
             if n_hubs:
-                spread = plain.join(F.broadcast(hubs), "src", "left_semi").repartition(n, "src", "dst").persist()
-                plain = plain.join(F.broadcast(hubs), "src", "left_anti")
+                near = F.broadcast(hubs) if few else hubs
+                spread = plain.join(near, "src", "left_semi")
+                if few:
+                    spread = spread.repartition(n, "src", "dst").persist()
+                else:
+                    spread = spread.withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(salts)).cast("int")).repartition(n, "src", "salt").persist()
+                plain = plain.join(near, "src", "left_anti")
             plain = plain.repartition(n, "src").persist()
 
-            def fixed(df: DataFrame) -> tuple[DataFrame, int]:
+            def fixed(df: DataFrame) -> tuple[DataFrame, int, int]:
                 seen = Observation()
-                df = cut_lineage(df.observe(seen, F.count_if("active").alias("active")))
-                return df, int(seen.get["active"])
+                df = cut_lineage(df.observe(seen, F.count_if("active").alias("active"), F.sum(F.when(F.col("active"), F.col("degree"))).alias("messages")))
+                got = seen.get
+                return df, int(got["active"]), int(got["messages"] or 0)
 
-            state, active = fixed(degrees.select("id", "degree", *(c.alias(k) for k, c in program.init.items())).repartition(n, "id"))
+            state, active, messages = fixed(degrees.select("id", "degree", *(c.alias(k) for k, c in program.init.items())).repartition(n, "id"))
             rounds, stats, strategy = 0, [], "shuffle"
             while rounds < max_iter:
                 if join != "shuffle":
@@ -108,13 +117,18 @@ def run_vertex_program(
                 near = F.broadcast(front) if strategy == "broadcast" else front
                 sent = plain.join(near, "src").select(F.col("dst").alias("id"), program.message.alias("m"))
                 if spread is not None:
-                    big = F.broadcast(front.where(F.col("degree") > hub))
-                    sent = sent.unionByName(spread.join(big, "src").select(F.col("dst").alias("id"), program.message.alias("m")))
+                    big, on = front.where(F.col("degree") > hub), ["src"]
+                    if few:
+                        big = F.broadcast(big)
+                    else:
+                        big, on = big.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["src", "salt"]
+                    sent = sent.unionByName(spread.join(big, on).select(F.col("dst").alias("id"), program.message.alias("m")))
                 msg = sent.groupBy("id").agg(COMBINE[program.combine]("m").alias("m"))
                 new = program.apply(F.col("m"))
-                state, now = fixed(state.join(msg, "id", "left").select("id", "degree", *(new.get(k, F.col(k)).alias(k) for k in names)))
-                stats.append({"iteration": rounds, "active": active, "strategy": strategy})
-                rounds, active = rounds + 1, now
+                before, (state, now, then) = state, fixed(state.join(msg, "id", "left").select("id", "degree", *(new.get(k, F.col(k)).alias(k) for k in names)))
+                drop_checkpoint(before)
+                stats.append({"iteration": rounds, "active": active, "messages": messages, "strategy": strategy})
+                rounds, active, messages = rounds + 1, now, then
                 if not active:
                     break
             plain.unpersist()

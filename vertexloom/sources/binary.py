@@ -5,20 +5,49 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.functions.ordered import running
 from vertexloom.graph import Graph
+from vertexloom.session import written
+
+#: Bytes of a record, at most.
+RECORD = 1 << 12
+
+
+def _record_bytes(size: int) -> int:
+    """The largest length up to RECORD that cuts a file of ``size`` bytes into equal records of whole words."""
+    words = size // 4
+    return 4 * max((k for k in range(1, min(RECORD // 4, words) + 1) if words % k == 0), default=1)
+
+
+def _file_size(spark: SparkSession, path: str) -> int:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).getLen()
 
 
 def read_gr(spark: SparkSession, path: str) -> Graph:
-    """Reads a .gr file of any size in parallel: fixed 4-byte records are split by Hadoop's input format, so no task and no
-    row holds the file. Words get their position by one counting pass; sources come from the end offsets."""
-    words = spark.createDataFrame(
-        spark.sparkContext.binaryRecords(path, 4).zipWithIndex().mapPartitions(lambda it: ((i, struct.unpack("<I", w)[0]) for w, i in it)), "i long, w long"
-    ).persist()
+    """Reads a .gr file of any size in parallel: fixed-size records are split by Hadoop's input format, so no task and no
+    row holds the file. Records are numbered by one counting pass and decoded by vectors; sources come from the end offsets.
+
+    A file whose size has no large divisor falls back to short records, which takes longer.
+    """
+    size = _file_size(spark, path)
+    if size % 4:
+        raise ValueError("not a binary graph: it isn't made of 32-bit words")
+    length = _record_bytes(size)
+    records = spark.createDataFrame(spark.sparkContext.binaryRecords(path, length).zipWithIndex(), "b binary, i long")
+
+    def decode(batches):
+        for pdf in batches:
+            if len(pdf):
+                w = np.frombuffer(b"".join(pdf["b"]), dtype="<u4").astype(np.int64)
+                yield pd.DataFrame({"i": np.repeat(pdf["i"].to_numpy() * (length // 4), length // 4) + np.tile(np.arange(length // 4), len(pdf)), "w": w})
+
+    words = written(records.mapInPandas(decode, "i long, w long"), "words")
     head = [r["w"] for r in words.where("i < 8").orderBy("i").collect()]
     if len(head) < 8:
         raise ValueError("not a binary graph: the header is cut short")

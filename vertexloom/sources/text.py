@@ -48,9 +48,11 @@ def write_mtx(graph: Graph, path: str) -> None:
 
 
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
-    """(id, part): line i is the part of vertex i. Raises on an unreadable path; positions need one counting pass."""
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], int(x[0][0])))
-    return spark.createDataFrame(rows, "id long, part int")
+    """(id, part): line i is the part of vertex i. Raises on an unreadable path. Lines count in order of file, block
+    and line."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    placed = running(lines, [], ["file", "block", "at"])
+    return placed.select(F.col("pos").alias("id"), F.trim("value").cast("int").alias("part"))
 
 
 def write_parts(assignment: DataFrame, path: str, column: str = "mirror") -> None:
