@@ -1,6 +1,9 @@
 """Nearest neighbours: recall against brute force, exact scores, ties, edge cases."""
 
+import heapq
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from vertexloom.llm import neighbours
@@ -35,6 +38,61 @@ def test_recall_and_scores(spark):
         assert hits / (20 * len(want)) > 0.92
 
 
+def test_recall_on_a_larger_table(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(52_000, 64)).astype(np.float32)
+    x[:2000] = x[0] + 0.3 * rng.normal(size=(2000, 64))  # a crowd in one place
+    ids = np.arange(len(x))
+    pd.DataFrame({"vec_id": ids, "embedding": list(x)}).to_parquet(f"{tmp_path}/t.parquet")
+    found = neighbours.search(spark.read.parquet(f"{tmp_path}/t.parquet"), F.col("vec_id") % 200 == 0).toPandas()
+    want = brute(ids, x.astype(float), 20, 200)
+    got = found.groupby("query_id")["vec_id"].apply(set)
+    assert len(found) == 20 * len(want)
+    assert np.mean([len(got[q] & {w[0] for w in near}) / 20 for q, near in want.items()]) >= 0.9
+
+
+def test_leaves_decide(spark):
+    """On clustered vectors a small effort visits few leaves and still finds the neighbours; blocks inside leaves change nothing."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16))
+    x = (centres[np.arange(4000) % 40] + 0.05 * rng.normal(size=(4000, 16))).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = brute(np.arange(4000), x, 10, 20)
+
+    def run():
+        got = {}
+        for r in neighbours.search(df, F.col("vec_id") % 20 == 0, k=10, effort=0.3).collect():
+            got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+        return got
+
+    whole = run()
+    assert np.mean([len({v for v, _ in whole[q].values()} & {w[0] for w in near}) / 10 for q, near in want.items()]) > 0.9
+    before = neighbours.BLOCK, neighbours.QUERIES
+    try:
+        neighbours.BLOCK, neighbours.QUERIES = 16, 8
+        assert run() == whole
+    finally:
+        neighbours.BLOCK, neighbours.QUERIES = before
+
+
+def test_queue_is_what_a_heap_gives():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 8))
+    forest = neighbours.Forest(x, float(np.linalg.norm(x, axis=1).max()), 600, trees=3)
+    counts = np.bincount(forest.index(x).ravel(), minlength=forest.leaves)
+    q = rng.normal(size=8)
+    unit, heap, seen = np.append(q / np.linalg.norm(q), 0), [(0.0, t, 0) for t in range(3)], []
+    while heap and sum(counts[s] for s in seen) < 500:
+        cost, t, at = heapq.heappop(heap)
+        while len(forest.nodes[t][at]) > 1:
+            v, cut, left, right = forest.nodes[t][at]
+            d = unit @ v - cut
+            heapq.heappush(heap, (cost + d * d, t, right if d <= 0 else left))
+            at = left if d <= 0 else right
+        seen.append(forest.nodes[t][at][0])
+    assert set(forest.search(q[None], counts, 500)[0].tolist()) == set(seen)
+
+
 def test_ties_copies_and_invalid(spark):
     rows = [(i, [1.0, 0.0, 2.0]) for i in range(100)] + [(i, [0.5, float(i), -1.0]) for i in range(100, 130)]
     rows += [(200, None), (220, [0.0, 0.0, 0.0]), (240, [1.0, None, 2.0]), (260, [float("nan"), 1.0, 1.0]), (280, [float("inf"), 1.0, 1.0]), (300, [1.0]), (320, []), (None, [1.0, 1.0, 1.0]), (0, [1.0, 0.0, 2.0])]
