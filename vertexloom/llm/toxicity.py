@@ -5,10 +5,14 @@ weighed by DECAY to the power of the places spanned; the kernel is the product o
 ``worthless`` stays near ``worth-lless`` and ``wxorthless``. Marks inside a word are dropped, digits that stand for letters
 are read as such, and runs of single letters count as a word too.
 
-Training: sentences come from labelled documents. Sentences of toxic documents with a word that is far commoner there than
-in clean ones are positive; all sentences of clean documents are negative. A sentence goes by its strongest word, chosen anew
-in each round (multiple-instance training). The machine is linear in Nyström features over landmark words; since those are
-sums of kernels, it folds to one weight per three characters, and a word's value takes a few dozen look-ups.
+Training: labelled sentences. All sentences of clean documents are negative. Those of toxic documents are labelled in rounds
+(multiple-instance training): first by a word that is TIMES commoner in toxic documents, which is more than chance allows (binomial tails, at a
+false discovery rate of FALSE_SEEDS; of near copies one counts), later also by the machine: a sentence is positive if its value is
+above what the values of clean words that the machine hasn't met allow, at the same rate. A sentence's value is its
+strongest word's, and in the kernel it goes by that word: for positive ones whatever word that is, seen often or once, and
+for clean ones the words that come nearest to an insult. Positive words are also trained with characters inserted. The machine is linear in Nyström features
+over landmarks, the words that sentences go by; since those are sums of kernels, it folds to one weight per three
+characters, and a word's value takes a few dozen look-ups.
 
 A document's score is a logistic function of its three strongest words, their number, and its length, fitted on documents that
 the machine hasn't seen; then the machine is fitted again on all. Fitting takes at most SAMPLE labelled documents; scoring reads every document whole.
@@ -17,6 +21,7 @@ the machine hasn't seen; then the machine is fitted again on all. Fitting takes
 from __future__ import annotations
 
 import heapq
+import math
 import random
 import re
 from collections import Counter
@@ -24,10 +29,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vertexloom.llm import wordhash
 from vertexloom.llm.batches import short_batches
+from vertexloom.llm.jaccard import shingles
 from vertexloom.llm.labelled import remainder, sample
 
 SAMPLE = 6_000
@@ -35,10 +43,14 @@ WIDTH = 24
 SPAN = 6
 DECAY = 0.75
 LANDMARKS = 240
-STRONG = 120
+FALSE_SEEDS = 0.3
+TIMES = 12
 INSERTED = 8
 COST = 40.0
-ROUNDS = 3
+HARD = 1500
+ROUNDS = 4
+COPIED = 0.3
+SKETCH = 64
 THRESHOLD = 0.3
 CACHE = 200_000
 CODES = 64
@@ -216,45 +228,90 @@ def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> np.ndarray:
     return w
 
 
-def _machine(pos: list[set[str]], neg: list[set[str]], seed: int = 3) -> tuple[np.ndarray, float] | None:
-    """From positive and negative documents as sets of normal words per sentence-joined document; None without any signal."""
+def _spread(documents: list[list[set[str]]], once: set[frozenset[str]] | None) -> Counter:
+    """In how many documents each word stands; with ``once``, by sentences that weren't there before: copies add nothing."""
+    out: Counter = Counter()
+    for d in documents:
+        new = d
+        if once is not None:
+            new = [s for s in map(frozenset, d) if s not in once]
+            once.update(new)
+        out.update(set().union(*new))
+    return out
+
+
+def _tails(p: Counter, n: Counter, share: float) -> dict[str, float]:
+    """For each word of toxic documents, the chance of as many among the documents that hold it, by the binomial law."""
+    known: dict[tuple[int, int], float] = {}
+    for a, b in {(p[w], n[w]) for w in p}:
+        c, lg = a + b, math.lgamma
+        known[a, b] = sum(math.exp(lg(c + 1) - lg(k + 1) - lg(c - k + 1) + k * math.log(share) + (c - k) * math.log1p(-share)) for k in range(a, c + 1))
+    return {w: known[p[w], n[w]] for w in p}
+
+
+def _seeds(p: Counter, n: Counter, share: float) -> dict[str, float]:
+    """Words that are commoner in toxic documents than chance allows, with their tails."""
+    tails = sorted((t, w) for w, t in _tails(p, n, share).items())
+    words = len(p.keys() | n.keys())
+    last = max((k for k, (t, _) in enumerate(tails, 1) if t * words <= FALSE_SEEDS * k), default=0)
+    return {w: t for t, w in tails[:last]}
+
+
+def _least(found: np.ndarray, clean: np.ndarray) -> float:
+    """The lowest value above which clean words the machine hasn't met let expect a share of FALSE_SEEDS of those found."""
+    found, clean = np.sort(found)[::-1], np.sort(clean)
+    if not len(clean):
+        return np.inf
+    wrong = (len(clean) - np.searchsorted(clean, found)) / len(clean) * len(found)
+    good = np.flatnonzero((wrong <= FALSE_SEEDS * np.arange(1, len(found) + 1)) & (found > 0))
+    return float(found[good[-1]]) if len(good) else np.inf
+
+
+def nystrom(land: np.ndarray) -> np.ndarray:
+    """Turns kernels with the landmarks (rows of features) into Nyström features."""
+    value, vector = np.linalg.eigh((land @ land.T).astype(np.float64))
+    keep = value > 1e-4
+    return vector[:, keep] / np.sqrt(value[keep])
+
+
+def _machine(pos: list[list[set[str]]], neg: list[list[set[str]]], seed: int = 3) -> tuple[np.ndarray, float] | None:
+    """From toxic and clean documents as lists of sentences, each a set of normal words; None without any signal."""
     rnd = random.Random(seed)
-    p, n = Counter(w for d in pos for w in d), Counter(w for d in neg for w in d)
-    odds = {w: np.log((p[w] + 0.3) / (len(pos) + 1)) - np.log((n[w] + 0.3) / (len(neg) + 1)) for w in p}
-    least = 2 if len(pos) < 60 else 3
-    strong = sorted((w for w in p if p[w] >= least and odds[w] >= 2.5), key=lambda w: (-odds[w] * np.sqrt(p[w]), w))[:STRONG]
-    if not strong:
+    if not pos or not neg:
+        return None
+    for once in (set(), None):  # where that leaves no signal, repeated sentences count too
+        n, p = (_spread(docs, once) for docs in (neg, pos))
+        seeds = {w: t for w, t in _seeds(p, n, len(pos) / (len(pos) + len(neg))).items() if p[w] * len(neg) >= TIMES * n[w] * len(pos)}
+        if seeds:
+            break
+    else:
         return None
     clean = sorted(n, key=lambda w: (-n[w], w))
-    anchors = strong + clean[: LANDMARKS // 4] + rnd.sample(clean, min(len(clean), LANDMARKS // 4))
-    anchors = sorted(set(anchors))
-    column = columns(anchors)
-    land = dense(anchors, column)
-    # positives first go by association; rounds then choose each sentence's strongest word
-    weights, bias, rank = None, 0.0, {w: i for i, w in enumerate(strong)}
+    rare = {w for w in p if 3 * n[w] * len(pos) < p[w] * len(neg)}  # words that may make a sentence positive
+    first = chosen = set(seeds)  # a sentence goes by each of these that it holds
     hard: list[str] = []
-    for _ in range(ROUNDS):
-        if weights is None:
-            chosen = [min((w for w in d if w in rank), key=rank.get) for d in pos if any(w in rank for w in d)]
-        else:
-            pool = sorted({w for d in pos for w in d if w in odds and odds[w] > 0.5})
+    weights, bias, met = None, 0.0, set()
+    for round_ in range(ROUNDS):
+        if weights is not None:
+            top = values(clean, weights, bias)  # of a clean sentence the strongest word counts
+            hard = sorted(set(hard) | {clean[i] for i in np.argsort(-top, kind="stable")[:HARD]})
+        if round_ > 1:  # once the machine has met the words of clean documents that come nearest
+            pool = sorted(rare)
             value = dict(zip(pool, values(pool, weights, bias).tolist(), strict=True))
-            best = [max((w for w in d if w in value), key=lambda w: (value[w], w), default=None) for d in pos]
-            chosen = [w for w in best if w is not None and w in rank]
-            top = values(clean, weights, bias)
-            hard = sorted(set(hard) | {clean[i] for i in np.argsort(-top, kind="stable")[:1500] if clean[i] not in rank})[:4000]
-        seen = sorted(set(chosen) | set(strong))
-        plus = seen + [v for w in seen for v in _variants(w, rnd) if v not in n]
-        minus = sorted(set(clean[:800]) | set(rnd.sample(clean, min(len(clean), 2500))) | set(hard))
-        minus = [w for w in minus if w not in rank]
-        known, sparse = plus + minus, []
-        gram = land @ land.T
-        val, vec = np.linalg.eigh(gram.astype(np.float64))
-        keep = val > 1e-4
-        fold = vec[:, keep] / np.sqrt(val[keep])
-        for b in range(0, len(known), 256):
-            sparse.append(dense(known[b : b + 256], column) @ land.T)
-        x = np.concatenate(sparse).astype(np.float64) @ fold
+            least = _least(np.array(list(value.values())), top[[w not in met for w in clean]])
+            best = [max(((value[w], w) for w in s if w in value), default=(-2.0, "")) for d in pos for s in d]
+            chosen = first | {w for v, w in best if v >= least}
+        plus = sorted(chosen)
+        marks = sorted(plus, key=lambda w: (-p[w], w))[: LANDMARKS // 2]
+        anchors = sorted({*marks, *clean[: LANDMARKS // 4], *rnd.sample(clean, min(len(clean), LANDMARKS // 4))})
+        column = columns(anchors)
+        land = dense(anchors, column)
+        fold = nystrom(land)
+        plus = plus + [v for w in plus for v in _variants(w, rnd) if v not in n]
+        minus = sorted({*clean[:800], *rnd.sample(clean, min(len(clean), 2500)), *hard} - chosen)
+        met = set(minus)
+        known = plus + minus
+        x = np.concatenate([dense(known[b : b + 256], column) @ land.T for b in range(0, len(known), 256)]).astype(np.float64) @ fold
         x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
         y = np.r_[np.ones(len(plus)), -np.ones(len(minus))]
         w = _svm(x, y, np.full(len(y), COST))
@@ -262,9 +319,25 @@ def _machine(pos: list[set[str]], neg: list[set[str]], seed: int = 3) -> tuple[n
     return weights.astype(np.float32), bias
 
 
-def _words(text: str) -> set[str]:
-    """Normal words of a text, sentence by sentence."""
-    return {f for s in _SENTENCE.split(text) for f in map(normal, tokens(s)) if len(f) >= 3}
+def _sentences(text: str) -> list[set[str]]:
+    """The sentences of a text, each as its normal words."""
+    said = ({f for f in map(normal, tokens(s)) if len(f) >= 3} for s in _SENTENCE.split(text))
+    return [s for s in said if s]
+
+
+def _copies(rows: list[tuple[int, str, int]]) -> list[bool]:
+    """Whether a text shares COPIED of its shingles (five words, the SKETCH least hashes) with earlier ones of its label."""
+    once: dict[int, set[int]] = {0: set(), 1: set()}
+    out: list[bool] = []
+    for at in range(0, len(rows), 500):
+        some = rows[at : at + 500]
+        for row, hashes, bounds in wordhash.grouped(pa.array([r[1] for r in some], type=pa.string()), lower=True):
+            for i in range(len(bounds) - 1):
+                s = shingles(hashes[bounds[i] : bounds[i + 1]], 5)
+                mine, seen = set(np.unique(s)[:SKETCH].tolist()), once[some[row + i][2]]
+                out.append(bool(mine) and len(mine & seen) >= COPIED * len(mine))
+                seen |= mine
+    return out
 
 
 def fit(rows: list[tuple[int, str, int]]) -> Model:
@@ -274,16 +347,17 @@ def fit(rows: list[tuple[int, str, int]]) -> Model:
     if prior in (0.0, 1.0):
         return Model(None, 0.0, None, prior)
     first = np.arange(len(rows)) % 3 != 2
-    bags, once = [], set()
-    for i, r in enumerate(rows):  # of equal texts one counts
-        bags.append(None if r[1] in once else _words(r[1]))
-        once.add(r[1])
+    copies = _copies(rows)
+    bags = [None if c else _sentences(r[1]) for r, c in zip(rows, copies, strict=True)]
 
     def machine(use):
         mine = [(b, t) for b, t, u in zip(bags, y, use, strict=True) if u and b is not None]
         return _machine([b for b, t in mine if t], [b for b, t in mine if not t])
 
     made = machine(first)
+    if made is None and any(copies):  # copies count where there is nothing else
+        bags = [_sentences(r[1]) for r in rows]
+        made = machine(first)
     if made is None:
         return Model(None, 0.0, None, prior)
     model = Model(*made, None, prior)
