@@ -86,19 +86,35 @@ _GENERATORS = (
     ("number", re.compile(r"(?<![0-9A-Za-z.])\(?[0-9]{2,4}\)?(?:[ ./-]?[0-9]{2,5}){2,4}(?![0-9A-Za-z])"), _DIGIT),
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])"), _DIGIT),
     ("iban", re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])"), _DIGIT),
-    ("secret", re.compile(r"(?<![A-Za-z0-9_])(?=[A-Za-z_]{0,40}[0-9])[A-Za-z0-9_]{20,128}(?![A-Za-z0-9_])"), _DIGIT),
+    ("secret", re.compile(r"(?<![A-Za-z0-9_/+.~@-])[A-Za-z0-9_/+~-][A-Za-z0-9_/+.~-]{18,}[A-Za-z0-9_/+]={0,2}"), _DIGIT),
     ("address", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"), re.compile(r":[0-9A-Fa-f]{1,4}:")),
-    ("spelled", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}|(?<= )at(?= )) ?[A-Za-z0-9-]{1,63} ?(?:\(dot\)|\[dot\]|\{dot\}|(?<= )dot(?= )|\.) ?[A-Za-z]{2,10}(?![A-Za-z0-9])", re.I), re.compile(r"[(\[{ ]at[)\]} ]", re.I)),
+    ("spelled", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:[(\[{]at[)\]}] ?[A-Za-z0-9-]{1,63}(?: ?[(\[{]dot[)\]}] ?| dot |\.)|(?<= )at(?= ) [A-Za-z0-9-]{1,63}(?: ?[(\[{]dot[)\]}] ?| dot ))[A-Za-z]{2,10}(?![A-Za-z0-9])", re.I), re.compile(r"[(\[{ ]at[)\]} ]", re.I)),
 )
-_GOOD = {k: i for i, k in enumerate("phone tel call mobile cell fax whatsapp ssn social iban account bank token key secret password api mail email contact reach write mac host card".split())}
-_BAD = {k: i for i, k in enumerate("order version isbn price total page section invoice commit build year chapter item sku id ref part no released at".split())}
-_WORD = re.compile(r"[a-z]+")
-FEATURES = len(ADDED) + 19
+#: Words beside personal data, and beside other numbers, in English, French, German and Spanish.
+GOOD = """phone tel call mobile cell fax whatsapp ssn social iban account bank token key secret password api mail email contact reach
+write mac host card téléphone appelez portable compte banque clé jeton courriel contactez écrire hôte carte telefon handy anrufen
+rufnummer konto kontonummer schlüssel passwort geheim kontakt schreiben adresse karte teléfono llamar móvil cuenta banco clave
+contraseña secreto correo contacto escribir tarjeta""".split()
+BAD = """order version isbn price total page section invoice commit build year chapter item sku id ref part no released at commande prix
+facture année chapitre article réf numéro publié bestellung preis seite rechnung jahr kapitel artikel nummer vom pedido precio
+página factura año capítulo artículo número publicado""".split()
+_GOOD, _BAD = frozenset(GOOD), frozenset(BAD)
+_WORD = re.compile(r"[^\W\d_]+")
+_LETTER = re.compile(r"[A-Za-z]")
+_LOWER = re.compile(r"[a-z]+")
+FEATURES = len(ADDED) + 21
+
+
+def _formed(kind: str, span: str) -> bool:
+    """What the patterns don't say: telephone numbers have 7 to 15 digits, secrets a digit and a letter."""
+    if kind == "number":
+        return 7 <= sum(c.isdigit() for c in span) <= 15
+    return kind != "secret" or bool(_DIGIT.search(span) and _LETTER.search(span))
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """Overlapping proposals of all generators."""
-    return [(m.start(), m.end(), kind) for kind, pattern, gate in _GENERATORS if gate.search(text) for m in pattern.finditer(text)]
+    return [(m.start(), m.end(), kind) for kind, pattern, gate in _GENERATORS if gate.search(text) for m in pattern.finditer(text) if _formed(kind, m[0])]
 
 
 def _mod97(s: str) -> bool:
@@ -121,6 +137,7 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
         len(s), digits, letters, len(s) - digits - letters, len(counts), entropy, float(check),
         sum(w in _GOOD for w in words), sum(w in _BAD for w in words), float(bool(words) and words[-1] in _GOOD), float(bool(words) and words[-1] in _BAD),
         float(prev in "=:\"'"), float(prev in "$€#v/"), float(after in "%$€"), float("=" in before[-6:]), max(groups, default=0), min(groups, default=0), len(groups), sum(c.isupper() for c in s),
+        max((len(x) for x in _LOWER.findall(s)), default=0), sum(c in "/.-" for c in s),
     ]
 
 
@@ -138,26 +155,37 @@ def _examples(n: int, seed: int) -> Iterator[tuple[str, int, int, str, int]]:
         rest = int("".join(str(int(c, 36)) for c in body + land + "00")) % 97
         return f"{land}{98 - rest:02d}{body}"
 
+    base64 = lambda k: "".join(rnd.choice(string.ascii_letters + string.digits + "/+") for _ in range(k))
+    path = lambda: "/".join(low(rnd.randint(3, 9)) for _ in range(rnd.randint(3, 6)))
+    call = ["call", "phone", "tel", "mobile:", "fax", "téléphone", "appelez", "portable", "telefon", "anrufen", "handy:", "teléfono", "llamar", "móvil"]
+    pay = ["iban", "bank account", "pay to", "compte", "konto", "kontonummer", "cuenta", ""]
+    hide = ["token =", "api_key =", "secret:", "password =", "key=", "clé :", "jeton", "schlüssel:", "passwort =", "clave:", "contraseña =", "token:"]
+    post = ["mail", "write to", "contact", "email:", "courriel", "écrire", "kontakt", "schreiben", "correo", "contacto", ""]
     true = [
-        lambda: (rnd.choice(["call", "phone", "tel", "mobile:", "fax"]), f"({num(3)}) {num(3)}-{num(4)}"),
-        lambda: (rnd.choice(["call me", "my cell", "phone:", "whatsapp", ""]), f"{num(3)}-{num(3)}-{num(4)}"),
-        lambda: (rnd.choice(["tel", "phone", "contact"]), f"0{num(2)} {num(4)} {num(4)}"),
+        lambda: (rnd.choice(call), f"({num(3)}) {num(3)}-{num(4)}"),
+        lambda: (rnd.choice([*call, ""]), f"{num(3)}-{num(3)}-{num(4)}"),
+        lambda: (rnd.choice(call), f"0{num(2)} {num(4)} {num(4)}"),
         lambda: (rnd.choice(["ssn", "social security", "ssn:", ""]), f"{rnd.randint(1, 665):03d}-{rnd.randint(1, 99):02d}-{rnd.randint(1, 9999):04d}"),
-        lambda: (rnd.choice(["iban", "bank account", "pay to", ""]), (lambda s: " ".join(s[i : i + 4] for i in range(0, len(s), 4)) if rnd.random() < 0.5 else s)(iban())),
-        lambda: (rnd.choice(["token =", "api_key =", "secret:", "password =", "key="]), rnd.choice(['"', "", "'"]) + rnd.choice([hexes(40), hexes(32), "AKIA" + num(6) + low(14).upper(), "ghp_" + low(12) + num(12) + low(12)])),
-        lambda: (rnd.choice(["mail", "write to", "contact", "email:", ""]), f"{low(5)}{rnd.choice([' at ', ' (at) ', '[at]', ' [at] '])}{low(6)}{rnd.choice([' dot ', '(dot)', ' [dot] '])}{rnd.choice(['com', 'org', 'net', 'de'])}"),
-        lambda: (rnd.choice(["mac", "host", "address", ""]), ":".join(hexes(2) for _ in range(6)) if rnd.random() < 0.5 else ":".join(hexes(4) for _ in range(8))),
+        lambda: (rnd.choice(pay), (lambda s: " ".join(s[i : i + 4] for i in range(0, len(s), 4)) if rnd.random() < 0.5 else s)(iban())),
+        lambda: (rnd.choice(hide), rnd.choice(['"', "", "'"]) + rnd.choice([hexes(40), hexes(32), hexes(rnd.randint(64, 200)), hexes(40).upper(), "AKIA" + num(6) + low(14).upper(), "ghp_" + low(12) + num(12) + low(12)])),
+        lambda: (rnd.choice(hide), rnd.choice(['"', "", "'"]) + rnd.choice([base64(39) + "7", base64(rnd.randint(60, 200)) + "9=", f"ey{base64(18)}3.ey{base64(24)}.{base64(30)}8"])),
+        lambda: (rnd.choice(post), f"{low(5)}{rnd.choice([' at ', ' (at) ', '[at]', ' [at] '])}{low(6)}{rnd.choice([' dot ', '(dot)', ' [dot] '])}{rnd.choice(['com', 'org', 'net', 'de', 'fr', 'es'])}"),
+        lambda: (rnd.choice(["mac", "host", "address", "hôte", "adresse", ""]), ":".join(hexes(2) for _ in range(6)) if rnd.random() < 0.5 else ":".join(hexes(4) for _ in range(8))),
     ]
     false = [
-        lambda: (rnd.choice(["order", "invoice no", "item", "ref", "sku", "id"]), num(rnd.randint(7, 14))),
-        lambda: (rnd.choice(["version", "build", "released"]), f"{num(2)}.{num(2)}.{num(3)}"),
-        lambda: (rnd.choice(["on", "released", "year", ""]), f"{rnd.randint(1900, 2030)}-{rnd.randint(1, 12):02d}-{rnd.randint(1, 28):02d}"),
-        lambda: (rnd.choice(["isbn", "page", "section"]), f"978-{num(2)}-{num(4)}-{num(3)}"),
-        lambda: (rnd.choice(["order", "part no", "ref"]), f"9{num(2)}-{num(2)}-{num(4)}"),
-        lambda: (rnd.choice(["part", "sku", "item"]), f"{low(2).upper()}{num(2)} {num(4)} {num(4)}"),
-        lambda: (rnd.choice(["total", "price", ""]), f"{num(3)} {num(3)} {num(3)}"),
-        lambda: (rnd.choice(["commit", "build", "see", "file"]), low(14) + "_" + low(8) + num(2)),
-        lambda: (rnd.choice(["we met", "look", "stay"]), f"{low(5)} at {low(4)}. {low(3).title()}"),
+        lambda: (rnd.choice(["order", "invoice no", "item", "ref", "sku", "id", "commande", "facture", "bestellung", "rechnung", "pedido", "factura", "número"]), num(rnd.randint(7, 15))),
+        lambda: ("", num(rnd.randint(7, 15))),
+        lambda: (rnd.choice(["version", "build", "released", "publié", "vom"]), f"{num(2)}.{num(2)}.{num(3)}"),
+        lambda: (rnd.choice(["on", "released", "year", "année", "jahr", "año", ""]), f"{rnd.randint(1900, 2030)}-{rnd.randint(1, 12):02d}-{rnd.randint(1, 28):02d}"),
+        lambda: (rnd.choice(["isbn", "page", "section", "seite", "página", "chapitre"]), f"978-{num(2)}-{num(4)}-{num(3)}"),
+        lambda: (rnd.choice(["order", "part no", "ref", "réf", "pedido"]), f"9{num(2)}-{num(2)}-{num(4)}"),
+        lambda: (rnd.choice(["part", "sku", "item", "artikel", "artículo"]), f"{low(2).upper()}{num(2)} {num(4)} {num(4)}"),
+        lambda: (rnd.choice(["total", "price", "prix", "preis", "precio", ""]), f"{num(3)} {num(3)} {num(3)}"),
+        lambda: (rnd.choice(["commit", "build", "see", "file", ""]), low(14) + "_" + low(8) + num(2)),
+        lambda: (rnd.choice(["see", "file", "at", "from", ""]), f"/{path()}/{num(4)}/{low(6)}.{low(3)}"),
+        lambda: (rnd.choice(["see", "from", ""]), f"{low(6)}.{low(8)}.com/{path()}/{num(2)}"),
+        lambda: (rnd.choice(["a", "the", ""]), "-".join(low(rnd.randint(3, 8)) for _ in range(4)) + f"-{num(rnd.randint(1, 4))}"),
+        lambda: (rnd.choice(["we met", "look", "stay"]), f"{low(5)} at {low(4)} dot {low(3)}"),
         lambda: (rnd.choice(["at", "from", ""]), ":".join(num(2) for _ in range(5))),
     ]
     for _ in range(n):
@@ -318,12 +346,12 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every document."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans, n_added of every document."""
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     text = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     n = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *map(n, BASE), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(n, BASE), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), (F.size("spans") - F.size(base)).cast("long").alias("n_added"))
 
 
 __all__ = ["base_spans", "candidates", "find", "fitted", "op10_pii", "redact", "select"]
