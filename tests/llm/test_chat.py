@@ -1,6 +1,8 @@
 """Chat windows: exact round trip, masks, budgets, edge cases."""
 
 import hashlib
+import random
+import re
 
 from vertexloom.llm import chat
 
@@ -46,6 +48,25 @@ def test_windows_repeat_history_and_system(spark):
     assert [r["text"] for r in back] == [t for *_, t in rows]
 
 
+def test_budget(spark):
+    """Beside the system turn, HISTORY + SPAN + LONG tokens, or HISTORY tokens and one long turn."""
+    rnd = random.Random(3)
+    rows = [(c, i, "system" if i == 0 else ("user", "assistant")[i % 2 == 0], "w " * (rnd.choice([0, 1, 5, 40, 60, 61, 300, 2000]) if i else 30)) for c in range(4) for i in range(60)]
+    tokens = {(c, i): len(t.split()) + chat.TURN_TOKENS for c, i, _, t in rows}
+    whole = chat.HISTORY + chat.SPAN + chat.LONG
+    for r in chat.windows(frame(spark, rows)).collect():
+        turns = [int(x) for x in re.findall(r"\[TURN (\d+)\]", r["text"])]
+        own, again = [t for t in turns if t >= r["first"]], [t for t in turns if 0 < t < r["first"]]
+        size = lambda ts: sum(tokens[r["conv_id"], t] for t in ts)  # noqa: E731, B023
+        assert (turns[0] == 0 or not r["window"]) and size(again) <= chat.HISTORY and own == list(range(own[0], own[-1] + 1))
+        assert size(again + [t for t in own if t]) <= whole or len(own) == 1 and size(own) > chat.LONG
+
+
+def test_probe_is_native(spark, sf_dir):
+    plan = chat.op2_chat(spark, sf_dir)._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas|ExistingRDD", plan.split("== Physical Plan ==")[1].replace("checkpoint", ""))
+
+
 def test_empty(spark):
     assert chat.windows(frame(spark, [])).count() == 0
 

@@ -21,8 +21,9 @@ def test_round_trip(spark, tmp_path):
     assert ("<urn:page:>", "response", None) in kinds and len(kinds) == len(rows)
     texts = {r["record_id"]: bytes(r["payload"]).decode() for r in got if r["kind"] == "response"}
     assert texts["<urn:page:7>"] == "ü" * 20_000_000 and texts["<urn:page:4>"] == "" and texts["<urn:page:1>"] == "short"
-    for f in (tmp_path / "w").glob("part-*"):
+    for f in (tmp_path / "w").rglob("part-*"):
         gzip.decompress(f.read_bytes())
+    assert len(list((tmp_path / "w").glob("step-*"))) == 2  # the long page stands apart
 
 
 def test_empty(spark, tmp_path):
@@ -59,6 +60,31 @@ def test_salvage():
     assert parts(nested) == (["<urn:page:8>"], [])
 
 
+def test_salvage_inside_members():
+    raw = [warc.page_record(i, f"u{i}", random.Random(i).randbytes(400)) for i in range(4)]
+    ids = [f"<urn:page:{i}>" for i in range(4)]
+    bad = bytearray(b"".join(raw[:3]))
+    bad[len(raw[0]) + len(raw[1]) // 2] ^= 0xFF  # the second of three records, packed as it is
+    data = warc.member(bytes(bad)) + warc.member(raw[3])
+    out = list(warc.salvage(data))
+    assert parts(data)[0] == [ids[0], ids[2], ids[3]]
+    gap = [g for g in out if isinstance(g, warc.Gap)]
+    size = len(warc.member(bytes(bad)))
+    assert [(g.start, g.end, g.inner, g.reason) for g in gap] == [(0, size, (len(raw[0]), len(raw[0]) + len(raw[1])), "block digest differs")]
+    whole = b"".join(raw)
+    for cut in (12, 4, 1):  # the end of the only member is missing
+        data = gzip.compress(whole)[:-cut]
+        assert parts(data)[0] == (ids if cut < 12 else ids[: len(parts(data)[0])]) and len(parts(data)[0]) >= 3
+        assert [(g.start, g.end, g.reason) for g in warc.salvage(data) if isinstance(g, warc.Gap)] == [(0, len(data), "gzip member cut short")]
+    hurt = bytearray(gzip.compress(whole))
+    hurt[-6] ^= 1  # the checksum alone
+    data = bytes(hurt) + warc.member(raw[3])
+    assert parts(data)[0] == [*ids, ids[3]]
+    assert [g.reason for g in warc.salvage(data) if isinstance(g, warc.Gap)] == ["gzip: checksum or length differs"]
+    named = b"\x1f\x8b\x08\x08\0\0\0\0\0\xffname.warc\0" + gzip.compress(whole, mtime=0)[10:]
+    assert parts(named) == (ids, [])
+
+
 def test_random_damage_never_raises():
     rnd = random.Random(5)
     data = b"".join(warc.member(warc.page_record(i, "u", rnd.randbytes(300))) for i in range(5))

@@ -1,10 +1,10 @@
 """Chat formatting in budgeted windows, with DataFrame functions only.
 
 A conversation's turns get a running sum of tokens. A turn belongs to the span in which it starts (spans are SPAN tokens of
-the running sum), so spans are aligned to turns; a window holds one span's turns, and so at most SPAN tokens and the rest of
-its last turn. A later window first repeats the system turn (a first turn whose role is 'system'), then those last turns of the
-window before that start at most HISTORY tokens ahead of it. The loss mask covers assistant texts once: repeated ones are
-masked out.
+the running sum), so spans are aligned to turns, and a turn of more than LONG tokens is a span of its own; a window holds one
+span's turns. A later window first repeats the system turn (a first turn whose role is 'system'), then those last turns of the
+window before that start at most HISTORY tokens ahead of it. So a window holds, beside the system turn, at most HISTORY + SPAN +
+LONG tokens, or HISTORY tokens and one long turn. The loss mask covers assistant texts once: repeated ones are masked out.
 
 Template: ``[TURN n]role[SEP]text[/TURN]`` per turn, n counting from 0. In roles and texts ``& [ ] < >`` are escaped, so
 neither the template's marks nor control strings of other templates (``</s>``, ``[INST]``, ``<|...|>``) can occur in them, and
@@ -24,7 +24,10 @@ from vertexloom.session import written
 
 SPAN = 192
 HISTORY = 64
+LONG = 64
 TURN_TOKENS = 4
+#: Tokens of a conversation stay below this.
+HIGH = 1 << 31
 WORD = r"[^\x20\x09-\x0D]+"
 #: What is escaped, and by what; '&' first.
 ESCAPES = (("&", "&amp;"), ("[", "&#91;"), ("]", "&#93;"), ("<", "&lt;"), (">", "&gt;"))
@@ -43,20 +46,23 @@ def unescape(c: F.Column) -> F.Column:
     return c
 
 
-def windows(turns: DataFrame, span: int = SPAN, history: int = HISTORY) -> DataFrame:
+def windows(turns: DataFrame, span: int = SPAN, history: int = HISTORY, long: int = LONG) -> DataFrame:
     """(conv_id, window, first, text, spans): a row per window of (conv_id, turn, role, text) rows.
 
     ``first`` is the number of the window's first new turn, ``spans`` array<struct<start, end>> its loss mask in code points.
     Turns are ordered by turn (null first), then role and MD5 of the text, so ties and repeated rows have a defined place. Null roles and
-    texts are empty; a null conv_id is a conversation. A turn over the budget has a window of its own length. An empty table
+    texts are empty; a null conv_id is a conversation. A turn of more than ``long`` tokens has a window of its own. An empty table
     gives an empty one. Other columns are ignored.
     """
     rows = turns.select("conv_id", "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("code", F.unhex(F.md5(F.col("text").cast("binary"))))
     # places are found without texts, which join in once, by turn and code
     light = rows.select("conv_id", "turn", "role", "code", (F.regexp_count("text", F.lit(WORD)) + TURN_TOKENS).alias("tokens"))
-    placed = running(light, ["conv_id"], ["turn", "role", "code"], "tokens").withColumn("before", F.col("cum") - F.col("tokens"))
-    placed = written(placed.withColumn("slot", F.floor(F.col("before") / span)).select("conv_id", "slot", "before", "pos", "turn", "role", "code"), "places")
+    # one running sum counts tokens and, above them, long turns
+    light = light.withColumn("alone", (F.col("tokens") > long).cast("long")).withColumn("sum", F.col("tokens") + F.col("alone") * HIGH)
+    placed = running(light, ["conv_id"], ["turn", "role", "code"], "sum").withColumn("sums", F.col("cum") - F.col("sum"))
+    placed = placed.withColumn("before", F.pmod("sums", F.lit(HIGH))).withColumn("breaks", 2 * F.floor(F.col("sums") / HIGH) + F.col("alone"))
+    placed = written(placed.withColumn("slot", F.col("breaks") * HIGH + F.floor(F.col("before") / span)).select("conv_id", "slot", "before", "pos", "turn", "role", "code"), "places")
     slots = placed.groupBy("conv_id", "slot").agg(F.min("before").alias("start"), F.min("pos").alias("first"))
     slots = written(running(slots, ["conv_id"], ["slot"]).select("conv_id", "slot", "start", "first", F.col("pos").alias("window")), "windows")
     after = slots.select(F.col("conv_id").alias("_c"), (F.col("window") - 1).alias("_w"), F.col("start").alias("next"))
@@ -106,7 +112,8 @@ def read_turns(formatted: DataFrame) -> DataFrame:
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of every conversation and of the probe, -1."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], turns.schema)
+    kind = {x.name: x.dataType for x in turns.schema}
+    probe = spark.range(2).select(F.lit(-1).cast(kind["conv_id"]).alias("conv_id"), F.col("id").cast(kind["turn"]).alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     out = windows(turns.unionByName(probe))
     new = F.filter(_parts(F.col("text")), lambda t: t["pos"] >= F.col("first"))
     said = F.transform(new, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
@@ -122,8 +129,8 @@ def _sql() -> str:
     return rf"""
 with t as (select conv_id, turn, coalesce("role", '') r, coalesce("text", '') x from conversations union all select -1, 0, 'user', '{PROBE}' union all select -1, 1, 'assistant', '{PROBE}'),
 p as (select *, row_number() over w - 1 pos, len(regexp_extract_all(x, '{WORD}')) + {TURN_TOKENS} k from t window w as (partition by conv_id order by turn nulls first, r, md5(x))),
-c as (select *, (sum(k) over (partition by conv_id order by pos rows unbounded preceding) - k)::bigint bef from p),
-s as (select *, bef // {SPAN} slot, length('[TURN ' || pos || ']') + {size("r")} + 5 + {size("x")} + 7 chars from c),
+c as (select *, (sum(k) over w - k)::bigint bef, (2 * (sum((k > {LONG})::int) over w - (k > {LONG})::int) + (k > {LONG})::int)::bigint breaks from p window w as (partition by conv_id order by pos rows unbounded preceding)),
+s as (select *, breaks * {HIGH} + bef // {SPAN} slot, length('[TURN ' || pos || ']') + {size("r")} + 5 + {size("x")} + 7 chars from c),
 w as (select conv_id, slot, min(bef) start, row_number() over (partition by conv_id order by slot) - 1 win from s group by 1, 2),
 n as (select *, lead(start) over (partition by conv_id order by win) nxt from w),
 e as (select s.conv_id, chars + case when nxt - bef <= {HISTORY} and not (pos = 0 and r = 'system') then chars else 0 end chars from s join n on s.conv_id is not distinct from n.conv_id and s.slot = n.slot
