@@ -54,6 +54,7 @@ SKETCH = 64
 THRESHOLD = 0.3
 CACHE = 200_000
 CODES = 64
+BLOCK = 8_192
 #: Digits and marks that stand for letters.
 LOOKS = str.maketrans("013457@$", "oieastas")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -61,6 +62,10 @@ _SPELT = re.compile(r"(?<!\S)\w(?:[\s.*_-]{1,3}\w){2,}(?!\S)")
 _SENTENCE = re.compile(r"[.!?\n]+")
 
 
+#: A sentence: its distinct normal words, sorted.
+Sentence = tuple[str, ...]
+
+
 def _code_table() -> np.ndarray:
     table = np.zeros(0x11000, dtype=np.int64)
     for c in range(1, len(table)):
@@ -131,17 +136,17 @@ def columns(words: list[str]) -> np.ndarray:
 
 def values(words: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
     """The machine's value of each normal word; of long words the largest over their pieces."""
-    pieces, owner = [], []
-    for i, w in enumerate(words):
-        for p in _pieces(w):
-            pieces.append(p)
-            owner.append(i)
-    found = np.full(len(pieces), -1.0 + bias)
-    for at, codes, w in _coded(pieces):
-        for b in range(0, len(at), 8192):
-            found[at[b : b + 8192]] = weights[codes[b : b + 8192]] @ w + bias
     out = np.full(len(words), -np.inf)
-    np.maximum.at(out, np.array(owner, dtype=np.int64), found)
+    for begin in range(0, len(words), BLOCK):
+        pieces, owner = [], []
+        for i, w in enumerate(words[begin : begin + BLOCK]):
+            mine = _pieces(w)
+            pieces += mine
+            owner += [begin + i] * len(mine)
+        found = np.full(len(pieces), -1.0 + bias)
+        for at, codes, w in _coded(pieces):
+            found[at] = weights[codes] @ w + bias
+        np.maximum.at(out, np.array(owner, dtype=np.int64), found)
     return out
 
 
@@ -228,13 +233,13 @@ def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> np.ndarray:
     return w
 
 
-def _spread(documents: list[list[set[str]]], once: set[frozenset[str]] | None) -> Counter:
+def _spread(documents: list[list[Sentence]], once: set[Sentence] | None) -> Counter:
     """In how many documents each word stands; with ``once``, by sentences that weren't there before: copies add nothing."""
     out: Counter = Counter()
     for d in documents:
         new = d
         if once is not None:
-            new = [s for s in map(frozenset, d) if s not in once]
+            new = [s for s in d if s not in once]
             once.update(new)
         out.update(set().union(*new))
     return out
@@ -274,8 +279,8 @@ def nystrom(land: np.ndarray) -> np.ndarray:
     return vector[:, keep] / np.sqrt(value[keep])
 
 
-def _machine(pos: list[list[set[str]]], neg: list[list[set[str]]], seed: int = 3) -> tuple[np.ndarray, float] | None:
-    """From toxic and clean documents as lists of sentences, each a set of normal words; None without any signal."""
+def _machine(pos: list[list[Sentence]], neg: list[list[Sentence]], seed: int = 3) -> tuple[np.ndarray, float] | None:
+    """From toxic and clean documents as lists of sentences; None without any signal."""
     rnd = random.Random(seed)
     if not pos or not neg:
         return None
@@ -319,10 +324,21 @@ def _machine(pos: list[list[set[str]]], neg: list[list[set[str]]], seed: int = 3
     return weights.astype(np.float32), bias
 
 
-def _sentences(text: str) -> list[set[str]]:
-    """The sentences of a text, each as its normal words."""
-    said = ({f for f in map(normal, tokens(s)) if len(f) >= 3} for s in _SENTENCE.split(text))
-    return [s for s in said if s]
+def _sentences(text: str, forms: dict[str, str]) -> list[Sentence]:
+    """The sentences of a text. ``forms`` keeps the normal form of each word, so that equal ones are one object."""
+    out = []
+    for said in _SENTENCE.split(text):
+        mine = set()
+        for w in tokens(said):
+            form = forms.get(w)
+            if form is None:
+                form = normal(w)
+                form = forms[w] = forms.setdefault(form, form)
+            if len(form) >= 3:
+                mine.add(form)
+        if mine:
+            out.append(tuple(sorted(mine)))
+    return out
 
 
 def _copies(rows: list[tuple[int, str, int]]) -> list[bool]:
@@ -348,7 +364,8 @@ def fit(rows: list[tuple[int, str, int]]) -> Model:
         return Model(None, 0.0, None, prior)
     first = np.arange(len(rows)) % 3 != 2
     copies = _copies(rows)
-    bags = [None if c else _sentences(r[1]) for r, c in zip(rows, copies, strict=True)]
+    forms: dict[str, str] = {}
+    bags = [None if c else _sentences(r[1], forms) for r, c in zip(rows, copies, strict=True)]
 
     def machine(use):
         mine = [(b, t) for b, t, u in zip(bags, y, use, strict=True) if u and b is not None]
@@ -356,7 +373,7 @@ def fit(rows: list[tuple[int, str, int]]) -> Model:
 
     made = machine(first)
     if made is None and any(copies):  # copies count where there is nothing else
-        bags = [_sentences(r[1]) for r in rows]
+        bags = [_sentences(r[1], forms) for r in rows]
         made = machine(first)
     if made is None:
         return Model(None, 0.0, None, prior)
