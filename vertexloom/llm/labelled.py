@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Code points of a sample, at most.
+CHARS = 40_000_000
+
 
 def remainder(id_column: str, divisor: int) -> F.Column:
     """crc32(id as text) mod divisor; null for a null id."""
     return F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(divisor))
 
 
-def sample(docs: DataFrame, labels: DataFrame, column: str, learn: F.Column, bound: int) -> list[tuple[int, str, int]]:
-    """At most ``bound`` (doc_id, text, label) rows for which ``learn`` (over doc_id) holds, those first by a hash of the id.
+def sample(docs: DataFrame, labels: DataFrame, column: str, learn: F.Column, bound: int, chars: int = CHARS) -> list[tuple[int, str, int]]:
+    """At most ``bound`` (doc_id, text, label) rows, of ``chars`` code points in all (but one row at least), for which ``learn``
+    (over doc_id) holds: whole texts, those first by a hash of the id.
 
     A document with several labels counts by their mean (a half is 1); null labels and ids are left out; of repeated rows of
     an id one is taken. Ids are chosen first, so that texts of chosen rows alone reach the driver. The same rows come
@@ -25,6 +29,14 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, learn: F.Column, bou
     share = min(1.0, (1.5 * bound + 1000) / max(1, eligible.count())) * (1 << 30)
     code = F.xxhash64("_id")
     ids = eligible.where(F.pmod(code, F.lit(1 << 30)) <= share).orderBy(F.pmod(code, F.lit(1 << 30)), "_id").limit(bound)
+    lengths = docs.select("doc_id", F.length(F.col("text").cast("string")).alias("n")).join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.sum("n").alias("n"), F.first("label").alias("label"))
+    left, kept = chars, []
+    for r in sorted(lengths.select("_id", "n", "label", F.pmod(F.xxhash64("_id"), F.lit(1 << 30)).alias("h")).collect(), key=lambda r: (r["h"], r["_id"])):  # at most ``bound`` rows
+        left -= r["n"] or 0
+        if left < 0 and kept:
+            break
+        kept.append((r["_id"], r["label"]))
+    ids = docs.sparkSession.createDataFrame(kept, "_id long, label int")
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
     rows = {r["doc_id"]: (r["doc_id"], r["text"] or "", r["label"]) for r in chosen.orderBy("doc_id", "text").select("doc_id", "text", "label").toLocalIterator()}
     return [rows[k] for k in sorted(rows)]
