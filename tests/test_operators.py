@@ -141,9 +141,12 @@ def test_cli(spark, tmp_path, capsys):
     from vertexloom import cli
 
     sources.write_gr(Graph.from_edges(spark.createDataFrame([(0, 1), (1, 2)], "src long, dst long"), n=4), f"{tmp_path}/g.gr")
-    cli.main(["-g", f"{tmp_path}/g.gr", "-a", "sssp", "-c", "2", "-m", "2", "-o", f"{tmp_path}/out"])
+    cli.main(["-g", f"{tmp_path}/g.gr", "-a", "sssp", "-c", "2", "-m", "2", "-o", f"{tmp_path}/out", "--stats", f"{tmp_path}/stats"])
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == [(0, 0), (1, 1), (2, 2), (3, None)]
-    assert "Iterations: 3" in capsys.readouterr().out
+    said = capsys.readouterr().out
+    assert "Iterations: 3" in said and "TotalBytesMoved: 48" in said and "Replication Factor: 1.5" in said
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/stats/run").select("iterations", "messages", "bytes").collect()] == [(3, 2, 48)]
+    assert spark.read.parquet(f"{tmp_path}/stats/rounds").count() == 3
     with pytest.raises(SystemExit):
         cli.main(["-a", "pr"])
 

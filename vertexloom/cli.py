@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom import algorithms, sources
-from vertexloom.operators import partition, topology
+from vertexloom.operators import metrics, partition, topology
 
 
 def parser() -> argparse.ArgumentParser:
@@ -22,6 +22,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--source", type=int, default=0)
     p.add_argument("--max-iter", type=int, default=1000)
     p.add_argument("--tolerance", type=float, default=algorithms.programs.TOLERANCE)
+    p.add_argument("--stats", help="folder for Parquet tables of the run: rounds and totals")
     p.add_argument("-o", "--output", help="folder for Parquet; by default the first rows are shown")
     return p
 
@@ -31,12 +32,11 @@ def main(argv: list[str] | None = None) -> None:
     builder = SparkSession.builder.appName("vertexloom")
     spark = SparkSession.getActiveSession() or builder.config("spark.master", f"local[{a.threads}]").getOrCreate()
     graph = (sources.read_mtx if a.graph.endswith(".mtx") else sources.read_gr)(spark, a.graph)
-    if a.mirrors > 1:
-        if a.partitions:
-            placed = partition.from_file(graph.vertices, sources.read_parts(spark, a.partitions), a.masters, a.mirrors)
-        else:
-            placed = partition.naive(graph.vertices, a.masters, a.mirrors)
-        print("Replication Factor:", topology.replication_factor(graph, placed).first()[0])
+    if a.partitions and a.mirrors > 1:
+        placed = partition.from_file(graph.vertices, sources.read_parts(spark, a.partitions), a.masters, a.mirrors)
+    else:
+        placed = partition.naive(graph.vertices, a.masters, a.mirrors)
+    replication = topology.replication_factor(graph, placed)
     if a.algorithm == "pr":
         run, value = algorithms.pagerank(graph, a.max_iter, tolerance=a.tolerance), "rank"
     elif a.algorithm == "sssp":
@@ -44,7 +44,14 @@ def main(argv: list[str] | None = None) -> None:
     else:
         run, value = algorithms.components(graph, max_iter=a.max_iter), "label"
     out = run.state.select("id", F.col(value))
-    print("Iterations:", run.iterations)
+    slots = graph.vertices.count()
+    rounds = metrics.bytes_moved(run.stats_frame(), slots)
+    total = metrics.run_stats(run.stats_frame(), slots, replication)
+    row = total.first()
+    print(f"Iterations: {run.iterations}\nTotalBytesMoved: {row['bytes']}\nMessages: {row['messages']}\nReplication Factor: {row['replication_factor']}")
+    if a.stats:
+        rounds.write.mode("overwrite").parquet(f"{a.stats}/rounds")
+        total.write.mode("overwrite").parquet(f"{a.stats}/run")
     if a.output:
         out.write.mode("overwrite").parquet(a.output)
     else:

@@ -17,6 +17,8 @@ def running(df: DataFrame, group: list[str], order: list[str], value: str | None
 
     ``group`` + ``order`` should identify rows; ties get any order. Group columns may be null (null is a group).
     """
+    if not group and not value:
+        return _numbered(df, order, slices)
     n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sliced = df.repartitionByRange(n, *group, *order).withColumn("_slice", F.spark_partition_id())
     sliced = cut_lineage(sliced)  # a retried task must not deal the slices anew
@@ -43,6 +45,19 @@ def running(df: DataFrame, group: list[str], order: list[str], value: str | None
     return joined.select(*out)
 
 
+def _numbered(df: DataFrame, order: list[str], slices: int | None) -> DataFrame:
+    """``running`` over the whole table, without values: slices are sorted as they are dealt, rows are numbered where they lie,
+    and the slices' sizes (a row each) are broadcast, so rows are shuffled once."""
+    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = cut_lineage(df.repartitionByRange(n, *order).sortWithinPartitions(*order)).withColumn("_i", F.monotonically_increasing_id())
+    sliced = sliced.withColumns({"_slice": F.shiftright("_i", 33), "_row": F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = sliced.groupBy("_slice").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("_slice").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"))
+    joined = sliced.join(F.broadcast(starts), F.col("_slice") == F.col("_at"))
+    return joined.select(*df.columns, (F.col("_row") + F.col("_n0")).cast("long").alias("pos"))
+
+
 def next_in_order(df: DataFrame, column: str, order: list[str], slices: int | None = None) -> DataFrame:
     """Adds ``next``: ``column`` of the following row in the total order (a global lead), by positions and an equi-join."""
     at = running(df, [], order, slices=slices)
