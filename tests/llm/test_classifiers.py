@@ -35,6 +35,8 @@ def test_sample_is_bounded_and_clean(spark):
     assert labelled.sample(docs, labels, "quality", F.lit(True), 10) == [(1, "a", 1), (2, "", 0)]
     assert len(labelled.sample(docs, labels, "quality", F.lit(True), 1)) == 1
     assert labelled.sample(docs, labels, "quality", F.col("doc_id") > 5, 10) == []
+    same = spark.createDataFrame([(7, f"text {i}") for i in range(200)], "doc_id long, text string")
+    assert labelled.sample(same, spark.createDataFrame([(7, 1)], "doc_id long, quality int"), "quality", F.lit(True), 10) == [(7, "text 99", 1)]
     long = spark.createDataFrame([(i, "word " * 20) for i in range(50)], "doc_id long, text string")
     marks = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
     assert len(labelled.sample(long, marks, "quality", F.lit(True), 40, chars=1250)) == 12
