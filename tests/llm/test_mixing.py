@@ -74,3 +74,19 @@ def test_null_ids_ties_and_names(spark):
     assert sum(r["words_"] for r in got) == taken >= 17
     assert all(tuple(r)[:6] in rows for r in got)
     assert mixing.mixture(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_curriculum_reaches_the_query(spark, sf_dir, monkeypatch):
+    """op5's rows stand in the order of the mix and take what its copies hold; without training time nothing is taken."""
+    docs_ = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = {}
+    for r in mixing.mixture(docs_).collect():
+        words[r["doc_id"]] = words.get(r["doc_id"], 0) + r["words"]
+    got = mixing.op5_mixing(spark, sf_dir).collect()
+    assert [r["doc_id"] for r in got if r["taken"]] == list(words)
+    assert {r["doc_id"]: r["taken"] for r in got} == {r["doc_id"]: 0 for r in docs_.collect()} | words
+    for r in mixing.schedule(docs_, until=0.5).groupBy("source").agg({"taken": "sum", "target": "max"}).collect():
+        slope = mixing.SLOPES[sorted(x[0] for x in docs_.select("source").distinct().collect()).index(r["source"]) % 3]
+        assert abs(r["sum(taken)"] - r["max(target)"] * (0.5 - slope / 4)) <= 1
+    monkeypatch.setattr(mixing, "_position", lambda words: words * 0.0 + 2.0)
+    assert not any(r["taken"] for r in mixing.op5_mixing(spark, sf_dir).collect())

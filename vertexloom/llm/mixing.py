@@ -56,10 +56,11 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, slopes
     return ranked.select("source", "source_size", F.when(full, F.col("most")).otherwise(F.col("w") * F.lit(water)).alias("target"), "slope")
 
 
-def schedule(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple = WEIGHTS, cap: int = CAP, slopes: tuple = SLOPES, key: F.Column | None = None) -> DataFrame:
+def schedule(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple = WEIGHTS, cap: int = CAP, slopes: tuple = SLOPES, key: F.Column | None = None, until: float = 1.0) -> DataFrame:
     """A row per document: (doc_id, source, size, source_size, target, taken, copies array<struct<words, position>>[, key]).
 
-    ``taken`` sums the words over the document's copies; a source's sum is its target, rounded down. A copy may be cut: its
+    ``copies`` are those that training reaches by the time ``until``; ``taken`` sums their words. A source's sum is what its
+    schedule demands by then, rounded down: its target, at the end. A copy may be cut: its
     first ``words`` words are taken. Documents of the last, partial pass are those first in hash order. Null texts and texts
     without words have size 0, no copies, and take 0; a null source is a source; where the id is null, the text's
     digest stands for it; rows that share an id are in order of size and a hash of the text, and repeated rows each take
@@ -73,7 +74,7 @@ def schedule(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     aims = targets(rows, weights, cap, slopes).withColumnsRenamed({"source": "_source"})
     placed = running(rows, ["source"], ["_order", "doc_id", "size", "_tie"], "size")
     joined = placed.join(F.broadcast(aims) if _few(aims) else aims, F.col("source").eqNullSafe(F.col("_source")))
-    whole = F.floor("target").cast("long")
+    whole = F.floor(_demand(F.lit(float(until)))).cast("long")
     size, total = F.col("size"), F.col("source_size")
     passes = F.when(total > 0, F.floor(whole / total).cast("long")).otherwise(F.lit(0))
     joined = joined.withColumn("_passes", F.least(passes, F.lit(cap).cast("long"))).withColumn("_start", F.col("cum") - size)
@@ -81,7 +82,9 @@ def schedule(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     at = lambda k, n: F.struct(n.cast("long").alias("words"), _position(k * total + F.col("_start") + n / 2).alias("position"))
     again = F.when((F.col("_passes") > 0) & (size > 0), F.transform(F.sequence(F.lit(0), (F.col("_passes") - 1).cast("int")), lambda k: at(k, size))).otherwise(F.array().cast("array<struct<words:bigint,position:double>>"))
     last = F.when(F.col("_extra") > 0, F.array(at(F.col("_passes"), F.col("_extra")))).otherwise(F.array().cast("array<struct<words:bigint,position:double>>"))
-    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("_passes") * size + F.col("_extra")).cast("long").alias("taken"), F.concat(again, last).alias("copies"), *(["key"] if key is not None else []))
+    reached = joined.withColumn("copies", F.filter(F.concat(again, last), lambda c: c["position"].between(0.0, float(until))))
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda n, c: n + c["words"])
+    return reached.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies", *(["key"] if key is not None else []))
 
 
 #: Source tables are broadcast up to this many rows, counted first; beyond it they are joined by shuffle.
@@ -92,8 +95,13 @@ def _few(aims: DataFrame) -> bool:
     return aims.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
+def _demand(t: F.Column) -> F.Column:
+    """Words that a source's schedule, integrated, asks for by time t; its target at 1."""
+    return F.col("target") * (t + F.col("slope") * (t * t - t))
+
+
 def _position(words: F.Column) -> F.Column:
-    """Time t at which the demand target * (t + slope * (t * t - t)) reaches ``words``."""
+    """Time t at which the demand reaches ``words``."""
     share = F.when(F.col("target") > 0, F.least(F.lit(1.0), words / F.col("target"))).otherwise(F.lit(0.0))
     s = F.col("slope")
     root = F.sqrt((1 - s) * (1 - s) + 4 * s * share)
@@ -118,9 +126,18 @@ def mixture(docs: DataFrame, partitions: int | None = None, **how) -> DataFrame:
     return out.repartitionByRange(n, position, key).sortWithinPartitions(position, key).drop(key)
 
 
+def in_training_order(plan: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Rows of a schedule, range-sorted by when training first meets them; those without copies stand last, by id."""
+    n = partitions or int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = F.array_min(F.transform("copies", lambda c: c["position"]))
+    order = [F.col("_first").asc_nulls_last(), F.col("doc_id").asc_nulls_last()]
+    return plan.withColumn("_first", first).drop("copies").repartitionByRange(n, *order).sortWithinPartitions(*order).drop("_first")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document."""
-    return schedule(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+    """doc_id, size, source_size, target, taken of every document, in the order in which the curriculum first takes them."""
+    plan = schedule(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return in_training_order(plan).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""
