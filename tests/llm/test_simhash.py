@@ -156,3 +156,27 @@ def test_near_copies_by_similarity(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
     assert len(near) > 100 and len(near & kept) <= 1 and set(range(400)) - kept <= near
+
+
+def test_links_that_keys_and_buckets_miss(spark, monkeypatch):
+    """12,000 pairs at exactly 0.8, some of which share no key; and families, when crowded buckets give no candidates at all."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(8))
+    rows = []
+    for i in range(0, 24000, 2):
+        said = [word() for _ in range(13)]
+        rows += [(i, " ".join(said)), (i + 1, " ".join([*said[:-1], word()]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(range(0, 24000, 2))
+    monkeypatch.setattr(jaccard, "CUT", 2.0)
+    texts = {}
+    for i in range(240):
+        said = [word() for _ in range(90)] if i % 80 == 0 else said
+        copy = list(said)
+        for j in rnd.sample(range(90), rnd.choice([0, 1, 2, 2, 3, 4, 6])):
+            copy[j] = word()
+        texts[i] = " ".join(copy)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for small in (64, 4):
+        monkeypatch.setattr(jaccard, "SMALL", small, raising=False)
+        assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == first_of(texts, similar(texts))

@@ -12,6 +12,15 @@ hashes, a byte each), from which similarities in a bucket are estimated without
   every deal, so few are parted. After DEPTH deals, overlapping blocks in order of signatures end it.
 
 Every candidate, once, is checked on the shingles themselves.
+
+All this leaves links out, rarely: texts that share no key, or whose estimates mislead in every bucket that they share. So an
+exact join follows (``missing``), over the components so far. Of two sets at similarity s or more, in one order of all
+shingles, the first shingle they share stands among the first n - ceil(s * n) + 1 of either (n: its size). Each text gives
+these, frequent ones last; two texts that meet in one, lie in different components, and can still come to s by their sizes
+and by what stands behind the shingle, are told apart by parities of their shingles' bits (as many as differ there differ in
+shingles, at least) and what remains is checked like the other candidates. No such pair is left out, however many texts a
+shingle has; families that hang together already cost no pairs. The order follows counts in a sample of SAMPLE texts: it
+bears on the work only.
 """
 
 from __future__ import annotations
@@ -24,7 +33,8 @@ from pyspark.sql import functions as F
 
 from vertexloom.functions.ordered import running
 from vertexloom.llm import wordhash
-from vertexloom.session import written
+from vertexloom.llm.components import connected_components
+from vertexloom.session import drop_written, written
 
 SIMILAR = 0.8
 ROWS = 5
@@ -37,6 +47,10 @@ SAME = 0.97
 DEALT = 5
 DEPTH = 12
 CHUNK = 2048
+SAMPLE = 8192
+OFTEN = 3
+FREQUENT = 1 << 18
+SMALL = 64
 _RANDOM = np.random.default_rng(11).integers(0, 1 << 63, size=(3, PLACES), dtype=np.uint64)
 _ODD = _RANDOM[1] * np.uint64(2) + np.uint64(1)
 
@@ -81,20 +95,79 @@ def _shingled(batch: pa.RecordBatch, width: int):
             yield row + i, shingles(hashes[bounds[i] : bounds[i + 1]], width)
 
 
-def banded(docs: DataFrame, id_column: str, text_column: str, width: int) -> DataFrame:
-    """(doc_id, tag, fp, keys) of every row: hash of the text, SimHash, band keys (none for texts without words)."""
+def frequent(docs: DataFrame, text_column: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts): those in OFTEN or more texts of a sample by hash, at most FREQUENT; sorted by shingle."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(s).view(np.int64) for _, s in _shingled(batch, width)]
+            yield pa.RecordBatch.from_arrays([pa.array(sets, type=pa.list_(pa.int64()))], names=["words"])
+
+    texts = docs.select(*_texts(text_column)).where(F.pmod("tag", F.lit(max(1, docs.count() // SAMPLE))) == 0).dropDuplicates(["tag"])
+    counts = texts.mapInArrow(run, "words array<long>").select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    found = counts.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()
+    words, n = found["word"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    order = np.argsort(words)
+    return words[order], n[order]
+
+
+def prefix(words: np.ndarray, often: tuple[np.ndarray, np.ndarray], similar: float) -> np.ndarray:
+    """The first shingles of a sorted set, frequent ones last, one of which any set at least ``similar`` shares."""
+    known, counts = often
+    if len(known):
+        at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+        n = np.where(known[at] == words, counts[at], 0)
+        if n.any():
+            words = words[np.lexsort((words, n))]
+    return words[: len(words) - int(np.ceil(similar * len(words) - 1e-6)) + 1]
+
+
+def parity(words: np.ndarray) -> bytes:
+    """A bit per hash, on if an odd number of a set's hashes falls there: two to four times as many as hashes, at most 65,536."""
+    bits = min(1 << 16, max(64, 1 << (2 * len(words) - 1).bit_length()))
+    return np.packbits(np.bincount((words & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def differing(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """At least how many hashes differ between two sets, by their parities; longer ones are folded to the shorter."""
+    la, lb = (np.array([len(x) for x in side], dtype=np.int64) for side in (a, b))
+    out = np.zeros(len(la), dtype=np.int64)
+    for m, n in set(zip(la.tolist(), lb.tolist(), strict=True)):
+        at = np.flatnonzero((la == m) & (lb == n))
+        x, y = (np.frombuffer(b"".join(side[i] for i in at), dtype=np.uint8).reshape(len(at), -1) for side in (a, b))
+        while x.shape[1] != y.shape[1]:
+            half = max(x.shape[1], y.shape[1]) // 2
+            x, y = (z[:, :half] ^ z[:, half:] if z.shape[1] > half else z for z in (x, y))
+        out[at] = np.unpackbits(x ^ y, axis=1).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _least_common(similar: float, sizes):
+    """Hashes that two sets of so many in all must share."""
+    return np.ceil(similar / (1 + similar) * sizes - 1e-6)
+
+
+def banded(docs: DataFrame, id_column: str, text_column: str, width: int, similar: float = SIMILAR) -> DataFrame:
+    """(doc_id, tag, fp, keys, size, prefix, bits) of every row: hash of the text, SimHash, band keys, number of different shingles,
+    the first of them, their parities (none for texts without words)."""
     from vertexloom.llm.simhash import folded
 
+    often = frequent(docs, text_column, width)
+
     def run(batches):
         for batch in batches:
-            fps, keys = np.zeros(batch.num_rows, dtype=np.int64), [[]] * batch.num_rows
+            fps, sizes = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int32)
+            keys, first, bits = [[]] * batch.num_rows, [[]] * batch.num_rows, [b""] * batch.num_rows
             for row, s in _shingled(batch, width):
                 if len(s):
-                    fps[row], keys[row] = folded(s), band_keys(np.unique(s)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(fps), pa.array(keys, type=pa.list_(pa.int64()))], names=["doc_id", "tag", "fp", "keys"])
+                    words = np.unique(s)
+                    fps[row], keys[row] = folded(s), band_keys(words).view(np.int64)
+                    sizes[row], first[row], bits[row] = len(words), prefix(words, often, similar).view(np.int64), parity(words)
+            many = [pa.array(x, type=pa.list_(pa.int64())) for x in (keys, first)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(fps), many[0], pa.array(sizes), many[1], pa.array(bits, type=pa.binary())], names=["doc_id", "tag", "fp", "keys", "size", "prefix", "bits"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), *_texts(text_column))
-    return rows.mapInArrow(run, "doc_id long, tag long, fp long, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, tag long, fp long, keys array<long>, size int, prefix array<long>, bits binary")
 
 
 def _texts(text_column: str) -> tuple:
@@ -164,8 +237,86 @@ def _dealt(large: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
     return twins, rest.select(F.explode(F.array(*keys)).alias("key"), "tag", "sig")
 
 
+def met(word: np.ndarray, tag: np.ndarray, root: np.ndarray, size: np.ndarray, pos: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v): tags of the pairs that share a word, differ in root (0: the tag) and may be ``similar``; rows are sorted by word and size."""
+    root = np.where(root == 0, tag, root)
+
+    def may(i, j):  # size[i] <= size[j]
+        return (root[i] != root[j]) & (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= _least_common(similar, size[i] + size[j]))
+
+    us, vs = [tag[:0]], [tag[:0]]
+    start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    count = np.diff(np.r_[start, len(word)])
+    mixed = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
+    end = np.repeat(np.where(mixed & (count <= SMALL), start + count, 0), count)
+    at = np.arange(len(word))
+    for d in range(1, SMALL):
+        at = at[at + d < end[at]]
+        at = at[size[at] >= similar * size[at + d] - 1e-6]
+        if not len(at):
+            break
+        some = at[may(at, at + d)]
+        us.append(tag[some])
+        vs.append(tag[some + d])
+    for lo, n in zip(start[mixed & (count > SMALL)], count[mixed & (count > SMALL)], strict=True):
+        roots, of, each = np.unique(root[lo : lo + n], return_inverse=True, return_counts=True)
+        for i in lo + np.flatnonzero(of != np.argmax(each)):  # pairs outside the largest component, and with it
+            near = lo + np.searchsorted(size[lo : lo + n], [similar * size[i] - 1e-6, size[i] / similar + 1e-6])
+            others = np.arange(near[0], near[1])
+            some = others[may(np.full(len(others), i), others)]
+            us.append(np.full(len(some), tag[i]))
+            vs.append(tag[some])
+    u, v = np.concatenate(us), np.concatenate(vs)
+    return np.minimum(u, v), np.maximum(u, v)
+
+
+def missing(rows: DataFrame, found: DataFrame, similar: float) -> DataFrame:
+    """(u, v): all pairs of texts of different components that may be ``similar``; found: (node, root) of texts that have links."""
+    columns = ["word", "tag", "root", "size", "pos"]
+
+    def meet(batches):
+        def pairs(parts):
+            u, v = met(*(np.concatenate(x) for x in zip(*parts, strict=True)), similar)
+            for i in range(0, len(u), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (u, v)], names=["u", "v"])
+
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            got = [batch.column(c).to_numpy() for c in columns]
+            once = np.r_[True, (got[0][1:] != got[0][:-1]) | (got[1][1:] != got[1][:-1])]  # copies of a text follow one another
+            got = [x[once] for x in got]
+            cut = int(np.searchsorted(got[0], got[0][-1]))  # the last word may go on in the next batch
+            if held and (cut or got[0][0] != last):
+                yield from pairs([*held, [x[:cut] for x in got]])
+                held = []
+            elif cut:
+                yield from pairs([[x[:cut] for x in got]])
+            held, last = [*held, [x[cut:] for x in got]], got[0][-1]
+        if held:
+            yield from pairs(held)
+
+    def rate(batches):
+        for batch in batches:
+            a, b = (batch.column(c).to_pylist() for c in ("a", "b"))
+            n = batch.column("n").to_numpy()
+            keep = differing(a, b) <= n - 2 * _least_common(similar, n)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("u", "v")], names=["u", "v"])
+
+    texts = rows.select("tag", "size", "prefix").join(found.withColumnRenamed("node", "tag"), "tag", "left").withColumn("root", F.coalesce("root", F.lit(0).cast("long")))
+    words = texts.select(F.posexplode("prefix").alias("pos", "word"), "tag", "root", "size").select(*columns)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = written(words.repartition(n, "word").sortWithinPartitions("word", "size", "tag").mapInArrow(meet, "u long, v long").distinct(), "meeting")
+    bits = rows.select("tag", "size", "bits").join(pairs.select(F.explode(F.array("u", "v")).alias("tag")).distinct(), "tag", "left_semi")
+    bits = bits.groupBy("tag").agg(F.min("size").alias("size"), F.min("bits").alias("bits"))
+    rated = pairs.join(bits.toDF("u", "m", "a"), "u").join(bits.toDF("v", "n", "b"), "v").select("u", "v", (F.col("m") + F.col("n")).alias("n"), "a", "b")
+    return rated.mapInArrow(rate, "u long, v long")
+
+
 def links(docs: DataFrame, rows: DataFrame, near: DataFrame, text_column: str, width: int, similar: float = SIMILAR) -> DataFrame:
-    """(u, v): hashes of texts whose shingles (A-Z lower-cased) are at least ``similar``; all texts without words are alike.
+    """(u, v): links that span exactly the components of texts, by their hashes, whose shingles (A-Z lower-cased) are at least
+    ``similar``; all texts without words are alike.
 
     ``rows``: what ``banded`` gave for ``docs``; ``near``: more candidates (u, v). Both are written tables.
     """
@@ -173,6 +324,7 @@ def links(docs: DataFrame, rows: DataFrame, near: DataFrame, text_column: str, w
     keyed = known.select("tag", F.explode("keys").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     live = written(keyed.join(crowded, "key").select("key", "tag", "n"), "buckets")
+    done = [live]
 
     def read(batches):
         for batch in batches:
@@ -188,6 +340,7 @@ def links(docs: DataFrame, rows: DataFrame, near: DataFrame, text_column: str, w
     sigs = sets.select("tag", "sig")
     pairs = live.where("n = 2").groupBy("key").agg(F.min("tag").alias("u"), F.max("tag").alias("v")).select("u", "v")
     more = written(live.where("n > 2").join(sigs, "tag").select("key", "tag", "sig", "n"), "crowds")
+    done += [sets, more]
     level = 0
     while True:
         pairs = pairs.unionByName(_candidates(more.where(F.col("n") <= CROWD)))
@@ -198,9 +351,31 @@ def links(docs: DataFrame, rows: DataFrame, near: DataFrame, text_column: str, w
         dealt = written(dealt, "dealt")
         sizes = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         more = written(dealt.join(sizes, "key"), "crowds")
+        done += [dealt, more]
         pairs = pairs.unionByName(twins)
         level += 1
     pairs = written(pairs.unionByName(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
+    found = connected_components(_checked(pairs, sets, similar))
+    for table in [*done, pairs]:  # no longer read; the exact join needs the room
+        drop_written(table)
+    rest = written(missing(rows, found, similar), "missing")
+    if rest.isEmpty():
+        return found.select(F.col("node").alias("u"), F.col("root").alias("v"))
+
+    def reread(batches):
+        for batch in batches:
+            sets = [None] * batch.num_rows
+            for row, s in _shingled(batch, width):
+                sets[row] = np.unique(s).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("tag"), pa.array(sets, type=pa.list_(pa.int64()))], names=["tag", "words"])
+
+    texts = docs.select(*_texts(text_column)).join(rest.select(F.explode(F.array("u", "v")).alias("tag")).distinct(), "tag", "left_semi")
+    sets = written(texts.mapInArrow(reread, "tag long, words array<long>").groupBy("tag").agg(F.min("words").alias("words")), "more-shingles")
+    return found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(_checked(rest, sets, similar))
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The pairs (u, v) whose sets (tag, words) are at least ``similar``."""
     there = sets.select(F.col("tag").alias("v"), F.col("words").alias("there"))
     common = F.size(F.array_intersect("words", "there"))
     enough = common >= similar * (F.size("words") + F.size("there") - common)

@@ -127,7 +127,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     included, tag the text's hash, and component a name that is never null.
 
     With ``similar``, texts link if their sets of shingles are at least so similar (Jaccard): near fingerprints are
-    candidates, MinHash gives more of them, and each is checked. Fingerprints then come from another hash of words.
+    candidates, MinHash gives more of them, and each is checked; an exact join finds what they leave out. Fingerprints then come from another hash of words.
 
     Null texts are empty; texts without words have fingerprint 0 and link like any other. Repeated rows give repeated rows.
     A null doc_id is kept; it counts for a component only where no other id is there (component_id is null then). Very long
@@ -138,7 +138,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         node, rows = "fp", written(fingerprints(docs, id_column, text_column, width), "fingerprints")
         linked = links(rows.select("fp").distinct())
     else:
-        node, rows = "tag", written(jaccard.banded(docs, id_column, text_column, width), "bands")
+        node, rows = "tag", written(jaccard.banded(docs, id_column, text_column, width, similar), "bands")
         told = rows.groupBy("fp").agg(F.min("tag").alias("tag"))
         same = rows.select("fp", F.col("tag").alias("v")).distinct().join(told, "fp").select(F.col("tag").alias("u"), "v").where("u <> v")
         near = links(told.select("fp")).join(told.withColumnsRenamed({"fp": "u", "tag": "a"}), "u").join(told.withColumnsRenamed({"fp": "v", "tag": "b"}), "v")

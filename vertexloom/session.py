@@ -76,6 +76,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_written(df: DataFrame) -> None:
+    """Deletes the table that ``written`` gave, which can't be read any more."""
+    for path in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        delete(df.sparkSession, path)
+
+
 @contextlib.contextmanager
 def settings(spark: SparkSession, **pairs: str) -> Iterator[None]:
     """Session settings (dots as double underscores) that hold inside the block."""
